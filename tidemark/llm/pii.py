@@ -51,6 +51,9 @@ _LABEL = r"[A-Za-z0-9-]+"
 _DISGUISED = re.compile(
     rf"(?P<user>[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*)(?P<at>{_AT}|[ ]+at[ ]+|@)(?P<host>{_LABEL}(?:(?:\.|{_DOT}|[ ]+dot[ ]+){_LABEL})+)", re.I
 )
+#: Ends of host names that bare words may spell; brackets say enough by themselves.
+_ENDS = set("com org net edu gov info biz io co uk de fr es it nl eu us ca ch at be pl ru jp cn in br au mx ar".split())
+_BARE = re.compile(r"[ ](?:at|dot)[ ]", re.I)
 _ANY_DOT = re.compile(rf"{_DOT}|[ ]+dot[ ]+", re.I)
 _BRACKETED = re.compile(r"[\[({<][ ]*(?:at|arroba|@|dot|punkt|point|punto|\.)[ ]*[\])}>]", re.I)
 _DOTTED_IP = re.compile(rf"[0-9]+(?:(?:\.|{_DOT}|[ ]+dot[ ]+)[0-9]+){{3}}", re.I)
@@ -187,14 +190,16 @@ def rewrite(text: str) -> Rewritten | None:
         if changes:
             now, changed = now.replace(changes), True
     if disguised_at(now.text, low):
-        changes = []
+        changes, taken = [], []
         for m in _DISGUISED.finditer(now.text):
+            if _BARE.search(m["at"] + m["host"]) and not (_BARE.search(m["host"]) and m["host"].lower().rsplit(None, 1)[-1].rsplit(".", 1)[-1] in _ENDS):
+                continue
+            taken.append(m.span())
             for name in ("user", "at", "host"):
                 if name == "at":
                     changes.append((*m.span("at"), "@"))
                 else:
                     changes += [(m.start(name) + d.start(), m.start(name) + d.end(), ".") for d in _ANY_DOT.finditer(m[name])]
-        taken = [m.span() for m in _DISGUISED.finditer(now.text)]
         for m in _DOTTED_IP.finditer(now.text):
             if not any(a < m.end() and m.start() < z for a, z in taken):
                 changes += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _ANY_DOT.finditer(m[0])]
