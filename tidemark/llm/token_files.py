@@ -7,7 +7,7 @@ Layout of a token file set (two Parquet tables, so any store that Spark writes w
   the offset index: doc_ids, offsets (where a frame starts; one more gives the end), counts (ids in it).
 
 A short document is read by one slice of one payload. Shards are id ranges in ascending order. The dictionary is trained on
-the serialized ids of at most ``SAMPLE`` documents, those with the least hashes, each up to ``SAMPLE_IDS`` ids; that bounds
+the serialized ids of at most ``SAMPLE`` documents, those with the least hashes of their ids, each up to ``SAMPLE_IDS`` ids; that bounds
 the fit alone, everything is encoded whole.
 
 Defined cases: a null text is an empty one and gets the end id only; repeated rows get their own frames; null ids come first;
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .common import new_path, partitions, small_batches
 
 SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES = 600, 4096, 64 * 1024
 BLOCK_BYTES, BLOCK_DOCS = 2 << 20, 4096
-CACHE_UNITS = 400_000
+CACHE_UNITS = 1 << 20
 LEVEL = 3
 
 
@@ -39,47 +40,202 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Units:
+    """A table of units by hash: open addressing in arrays, so a batch of units is looked up in a few vector steps.
+
+    A unit is known by two 64-bit hashes of its bytes, both sums of random numbers for the bytes times a power of the place.
+    """
+
+    def __init__(self, dtype: np.dtype, bits: int):
+        r = np.random.default_rng(20)
+        self.values = r.integers(1, 1 << 63, (2, 256), np.uint64) << np.uint64(1) | np.uint64(1)
+        self.step = 0x9E3779B97F4A7C15
+        self.powers = self.inverse = np.ones(1, np.uint64)
+        self.bits, self.dtype = bits, dtype
+        self.clear()
+
+    def clear(self) -> None:
+        n = 1 << self.bits
+        self.first, self.second = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.start, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.pool, self.used, self.size = np.zeros(1 << 16, self.dtype), 0, 0
+
+    def hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        if len(self.powers) < len(raw):
+            n = 1 << len(raw).bit_length()
+            back = pow(self.step, -1, 1 << 64)
+            self.powers, self.inverse = np.full(n, self.step, np.uint64), np.full(n, back, np.uint64)
+            for x in (self.powers, self.inverse):
+                x[0] = 1
+                np.cumprod(x, out=x)
+        out = []
+        for values in self.values:
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(values[raw] * self.powers[: len(raw)], out=sums[1:])
+            out.append((sums[ends] - sums[starts]) * self.inverse[starts])
+        out[0] |= np.uint64(1)  # nought is an empty place
+        return out
+
+    def _slot(self, first: np.ndarray) -> np.ndarray:
+        return ((first ^ (first >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Places of the units, -1 for those that aren't there."""
+        at, mask = self._slot(first), (1 << self.bits) - 1
+        there = (self.first[at] == first) & (self.second[at] == second)
+        left = np.nonzero(~there)[0]
+        while len(left):
+            empty = self.first[at[left]] == 0
+            at[left[empty]] = -1
+            left = left[~empty]
+            at[left] = (at[left] + 1) & mask
+            left = left[(self.first[at[left]] != first[left]) | (self.second[at[left]] != second[left])]
+        return at
+
+    def add(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """New units, each once."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(counts) - counts
+        at, mask = self._slot(first), (1 << self.bits) - 1
+        left = np.arange(len(first))
+        while len(left):
+            free = left[self.first[at[left]] == 0]
+            put = free[np.unique(at[free], return_index=True)[1]]
+            self.first[at[put]], self.second[at[put]] = first[put], second[put]
+            self.start[at[put]], self.count[at[put]] = start[put], counts[put]
+            left = left[self.first[at[left]] != first[left]]
+            at[left] = (at[left] + 1) & mask
+        self.used += len(ids)
+        self.size += len(first)
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units at these places, one after the other, and where each unit ends."""
+        counts = self.count[at].astype(np.int64)
+        ends = np.cumsum(counts)
+        return self.pool[np.repeat(self.start[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Encoder:
-    """Encodes whole texts with the tokenizers library, one unit between single spaces at a time.
+    """Encodes whole texts with the tokenizers library, a unit at a time.
 
-    The byte-level pattern starts a piece at every space that stands between two characters other than white space, so the
-    units between such spaces can be encoded apart and remembered.
+    The byte-level pattern starts a piece at every space that stands between two characters other than white space, and
+    makes such a line break a piece of its own. So the units in between can be encoded apart and remembered, up to
+    ``CACHE_UNITS``. New units are encoded many in one text and cut by the bytes of their ids.
     """
 
-    RUN = re.compile(r"\s\s|^\s|\s$")
-    SINGLE = re.compile(r"(?<=\S) (?=\S)")
+    SINGLE = re.compile(r"(?<=\S)([ \n])(?=\S)")
+    #: White space other than blank and line break, and what else sends a text the slower way.
+    RARE = "\x02\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    RARE_PAIRS = ("  ", " \n", "\n ", "\n\n")
+    GROUP_BYTES = 192 * 1024
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.zeros(1, self.dtype).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)  # a byte-level token has a character for each byte
+        self.end = np.zeros(1, self.dtype)
+        self.units = Units(self.dtype, (2 * CACHE_UNITS - 1).bit_length())
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, text: str) -> bool:
+        return text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in self.RARE_PAIRS) and not any(c in text for c in self.RARE)
+
+    def _parts(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units without white space but for a space before, and how many each has."""
+        led = [u if u[:1] == b" " else b"\n" + u for u in units]
+        ids = self._encode([b"".join(led).decode()])[0]
+        ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(u) for u in led])
+        at = np.searchsorted(ends, wanted)
+        if at[-1] < len(ends) and (ends[at] == wanted).all():
+            extra = np.array([v is not u for u, v in zip(units, led, strict=True)])
+            first = np.concatenate(([0], at[:-1] + 1))
+            keep = np.ones(len(ids), bool)
+            keep[first[extra]] = False  # the line breaks
+            return ids[keep], at + 1 - first - extra
+        each = self._encode([u.decode() for u in units])
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+        _, once = np.unique(first, return_index=True)
+        units = [raw[a:z] for a, z in zip(starts[once].tolist(), ends[once].tolist(), strict=True)]
+        ids, counts = [], []
+        single = {b"\x02": self.end, b"\n": None}
+        simple = [u for u in units if u not in single]
+        for i in range(0, len(simple), 256):
+            x, n = self._parts(simple[i : i + 256])
+            ids.append(x)
+            counts.append(n)
+        order = [i for i, u in enumerate(units) if u not in single]
+        for i, u in enumerate(units):
+            if u in single:
+                order.append(i)
+                ids.append(self.end if u == b"\x02" else self._encode(["\n"])[0])
+                counts.append(np.array([len(ids[-1])]))
+        at = once[order]
+        self.units.add(first[at], second[at], np.concatenate(ids), np.concatenate(counts))
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        raw = "\x02".join([*texts, ""]).encode()
+        data = np.frombuffer(raw, np.uint8)
+        alone = (data == 10) | (data == 2)
+        begins = alone | (data == 32)
+        begins[1:] |= alone[:-1]
+        begins[0] = True
+        starts = np.nonzero(begins)[0]
+        ends = np.append(starts[1:], len(data))
+        first, second = self.units.hashes(data, starts, ends)
+        at = self.units.find(first, second)
+        if (at < 0).any():
+            if self.units.size > CACHE_UNITS:
+                self.units.clear()
+                at[:] = -1
+            new = np.nonzero(at < 0)[0]
+            self._learn(raw, starts[new], ends[new], first[new], second[new])
+            at[new] = self.units.find(first[new], second[new])
+        ids, until = self.units.ids(at)
+        cuts = until[data[starts] == 2].tolist()
+        return [ids[a:z].tobytes() for a, z in zip([0, *cuts], cuts, strict=False)]
+
+    def _apart(self, text: str) -> bytes:
+        first, *rest = self.SINGLE.split(text)
+        out = [first]
+        for mark, unit in zip(rest[::2], rest[1::2], strict=True):
+            out += [" " + unit] if mark == " " else ["\n", unit]
+        return b"".join(x.tobytes() for x in [*self._encode(out), self.end])
 
     def serialize(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian bytes."""
-        split = {}
+        out: list[bytes] = [self.end.tobytes()] * len(texts)
+        easy, size = [], 0
         for i, text in enumerate(texts):
-            if text:
-                first, *rest = self.SINGLE.split(text) if self.RUN.search(text) else text.split(" ")
-                split[i] = [first, *map(" ".__add__, rest)]
-        if len(self.known) > CACHE_UNITS:
-            self.known.clear()
-        new = list(set().union(*split.values()).difference(self.known)) if split else []
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
-            self.known.update(zip(part, self._encode(part), strict=True))
-        out = [self.end] * len(texts)
-        for i, units in split.items():
-            out[i] = b"".join(map(self.known.__getitem__, units)) + self.end
+            if text and self._plain(text):
+                easy.append(i)
+                size += len(text)
+            elif text:
+                out[i] = self._apart(text)
+            if easy and (size >= self.GROUP_BYTES or i + 1 == len(texts)):
+                for k, ids in zip(easy, self._group([texts[k] for k in easy]), strict=True):
+                    out[k] = ids
+                easy, size = [], 0
         return out
 
 
+@lru_cache(2)
+def encoder_for(path: str) -> Encoder:
+    """One for each Python worker, whatever tasks it runs."""
+    return Encoder(path)
+
+
 def _texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
@@ -105,16 +261,18 @@ def _dictionary(raw: bytes):
 
 def fit_dictionary(docs: DataFrame, path: str) -> tuple[bytes, int]:
     """The dictionary and the bytes of an id, from a sample that does not grow with the table."""
-    sample = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE)
+    h = F.xxhash64("doc_id")
+    least = docs.select(h.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    sample = docs.filter(h <= least).limit(SAMPLE) if least is not None else docs.limit(0)
 
     def encode(batches):
-        encoder = Encoder(path)
+        encoder = encoder_for(path)
         for b in batches:
             cut = SAMPLE_IDS * encoder.dtype.itemsize
             yield pa.RecordBatch.from_arrays([pa.array([x[:cut] for x in encoder.serialize(_texts(b.column(0)))], pa.binary())], ["ids"])
 
     rows = sample.select("text").mapInArrow(encode, "ids binary").collect()  # SAMPLE rows of SAMPLE_IDS ids at most
-    return train([bytes(r.ids) for r in rows]), Encoder(path).dtype.itemsize
+    return train([bytes(r.ids) for r in rows]), encoder_for(path).dtype.itemsize
 
 
 BLOCKS = "shard int, block int, dict_hash string, payload binary, doc_ids array<bigint>, offsets array<bigint>, counts array<bigint>"
@@ -123,7 +281,7 @@ BLOCKS = "shard int, block int, dict_hash string, payload binary, doc_ids array<
 def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None) -> None:
     """Write the whole texts of ``docs`` in ascending doc_id order under ``out``."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 200)
     path = tokenizer or tokenizer_path()
     raw, id_bytes = fit_dictionary(docs, path)
     dict_hash = hashlib.sha256(raw).hexdigest()
@@ -136,7 +294,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None) -> Non
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
-        encoder = Encoder(path)
+        encoder = encoder_for(path)
         words = _dictionary(shared.value)
         pressed = zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_checksum=True)
         payload, ids, offsets, counts = [], [], [0], []
