@@ -40,32 +40,41 @@ def unescape_role(role: Column) -> Column:
 
 def _runs(links: DataFrame) -> DataFrame:
     """node -> (head, offset) of its run: a node goes on the run of its parent if it is the parent's only child."""
-    fan = links.filter("parent is not null").groupBy("parent").agg(F.count("*").alias("fan")).withColumnRenamed("parent", "p")
-    at = links.join(fan, F.col("parent") == F.col("p"), "left")
-    follows = F.col("parent").isNotNull() & (F.col("fan") == 1)
-    at = at.select("node", F.when(follows, F.col("parent")).otherwise(F.col("node")).alias("up"), follows.cast("long").alias("far"), (~follows).alias("ended"))
-    at = stage(at, "runs")
-    open_, last = at.filter("not ended").count(), -1
+    rest = links.filter("parent is not null")
+    fan = rest.groupBy("parent").agg(F.count("*").alias("fan")).withColumnRenamed("parent", "p")
+    tied = rest.join(fan, F.col("parent") == F.col("p")).select("node", F.when(F.col("fan") == 1, F.col("parent")).otherwise(F.col("node")).alias("up"))
+    at = links.filter("parent is null").select("node", F.col("node").alias("up")).unionAll(tied)
+    follows = F.col("up") != F.col("node")
+    at = stage(at.select("node", "up", follows.cast("long").alias("far"), (~follows).alias("ended")), "runs")
+    ended, last = at.filter("ended"), -1
+    open_ = at.filter("not ended").count()
     while open_ and open_ != last:  # each round ends some, unless only cycles are left
         b = at.select(F.col("node").alias("n"), F.col("up").alias("u"), F.col("far").alias("f"), F.col("ended").alias("e"))
-        at = stage(at.join(b, F.col("up") == F.col("n")).select("node", F.col("u").alias("up"), (F.col("far") + F.col("f")).alias("far"), F.col("e").alias("ended")), "runs")
+        moved = at.filter("not ended").join(b, F.col("up") == F.col("n")).select("node", F.col("u").alias("up"), (F.col("far") + F.col("f")).alias("far"), F.col("e").alias("ended"))
+        at = stage(moved.unionAll(ended), "runs")
+        ended = at.filter("ended")
         last, open_ = open_, at.filter("not ended").count()
-    return at.filter("ended").drop("ended")
+    return ended.drop("ended")
 
 
 def paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     """nodes: tree, node, parent, score -> tree, branch (rank from 1), turn (from 0), node, for the best ``keep`` leaves of each tree."""
     links = nodes.select("tree", "node", F.col("parent").alias("wanted"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     have = links.select(F.col("node").alias("parent"))
-    links = stage(links.join(have, F.col("wanted") == F.col("parent"), "left").select("tree", "node", "parent", "score"), "links")
+    # Roots have no key to be joined on, and would all meet in one task.
+    placed = links.filter("wanted is not null").join(have, F.col("wanted") == F.col("parent"), "left")
+    roots = links.filter("wanted is null").withColumnRenamed("wanted", "parent")
+    links = stage(placed.select("tree", "node", "parent", "score").unionByName(roots), "links")
     at = _runs(links).select("node", F.col("up").alias("run"), F.col("far").alias("offset"))
     placed = stage(links.join(at, "node"), "placed")
     runs = placed.groupBy("run").agg(
         F.first("tree").alias("tree"), F.sum("score").alias("score"), F.count("*").alias("turns"), F.max(F.when(F.col("offset") == 0, F.struct("parent"))).alias("top")
     )
     parent_run = placed.select(F.col("node").alias("n"), F.col("run").alias("parent_run"))
-    runs = stage(runs.select("run", "tree", "score", "turns", F.col("top.parent").alias("parent")).join(parent_run, F.col("parent") == F.col("n"), "left").drop("n"), "runs-of")
-    leaf = runs.join(runs.select(F.col("parent_run").alias("r")).distinct(), F.col("run") == F.col("r"), "left_anti").select("run")
+    runs = runs.select("run", "tree", "score", "turns", F.col("top.parent").alias("parent"))
+    below = runs.filter("parent is not null").join(parent_run, F.col("parent") == F.col("n")).drop("n")
+    runs = stage(below.unionByName(runs.filter("parent is null"), allowMissingColumns=True), "runs-of")
+    leaf = runs.join(runs.select(F.col("parent_run").alias("r")).filter("r is not null").distinct(), F.col("run") == F.col("r"), "left_anti").select("run")
     front = runs.filter("parent is null").select("run", "tree", "score", "turns", F.array("run").alias("path"))
     found = front
     while True:
