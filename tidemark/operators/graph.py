@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.profile import long
+from tidemark.session import ship
 
 
 def fit_hubs(train: DataFrame, columns: list[str], share: float = 0.05) -> DataFrame:
@@ -97,6 +98,7 @@ def incremental_components(df: DataFrame, links: list[str], lag: int, day: str =
     What a component is at t depends on all rows before it, so this is one ordered pass; only ids, codes and times take part.
     The labels of rows outside the training window must be null.
     """
+    ship(df.sparkSession)
     rows = df.select("id", "ts", F.col(day).alias("day"), *[F.col(c).cast("string").alias(c) for c in links], F.col("label").cast("double").alias("label"))
     return rows.repartition(1).sortWithinPartitions("ts", "id").mapInPandas(lambda it: _walk(it, links, lag), _OUT)
 

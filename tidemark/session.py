@@ -20,3 +20,24 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
         "spark.ui.enabled": os.environ.get("TIDEMARK_UI", "false"),
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return b.config(map=settings).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, once for each context, wherever the driver found it."""
+    import atexit
+    import shutil
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    top, made = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="tidemark-code-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)  # the driver serves the file as long as it runs
+    file = Path(made) / "tidemark.zip"
+    with zipfile.ZipFile(file, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, f"tidemark/{p.relative_to(top)}")
+    sc.addPyFile(str(file))
+    sc._tidemark_shipped = True

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.causal import WINDOWS
+from tidemark.session import ship
 
 FIELDS = "id bigint, key string, late boolean, prior_count bigint, since_prev bigint, mean_gap double, amt_mean double, amt_std double, n_distinct_device bigint, device_is_new int, " + ", ".join(f"count_{w} bigint, sum_{w} double" for w in WINDOWS)
 NAMES = [x.split()[0] for x in FIELDS.split(", ")]
@@ -77,6 +78,7 @@ class Store(StatefulProcessor):
 
 def features(stream: DataFrame, grain: str = "entity") -> DataFrame:
     """stream: id, ts, amount, device and the grain. Needs the RocksDB state store."""
+    ship(stream.sparkSession)
     keyed = stream.selectExpr("id", "ts", "amount", "device", f"cast({grain} as string) as key")
     return keyed.groupBy("key").transformWithStateInPandas(statefulProcessor=Store(), outputStructType=FIELDS, outputMode="Append", timeMode="None")
 
