@@ -297,15 +297,16 @@ def test_suffixes(spark):
 def test_neighbours_over_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     r = random.Random(5)
-    rows = [(r.choice([1, 1, 1, 2, 3, 4]), r.randrange(40), 0, r.randrange(5)) for _ in range(600)]
+    rows = [(r.choice([1, 1, 1, 2, 3, 4]), r.randrange(3), r.randrange(40), 0, r.randrange(5)) for _ in range(600)]
     rows = sorted(set(rows))
-    made = spans.neighbours(spark.createDataFrame(rows, "code bigint, doc bigint, th int, pos int"))
+    made = spans.neighbours(spark.createDataFrame(rows, "code bigint, next int, doc bigint, th int, pos int"))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     want = []
-    for c, d, t, p in rows:
-        before = [x for x in rows if x[0] == c and x[1] < d]
-        want += [(d, t, p, *before[-1][1:])] if before else []
-    assert got(made, "a_doc", "a_th", "a_pos", "b_doc", "b_th", "b_pos") == sorted(want, key=repr)
+    for i, (c, _, d, t, p) in enumerate(rows):
+        while i >= 0 and rows[i][0] == c and rows[i][2] == d:
+            i -= 1
+        want += [(d, t, p, *rows[i][2:4])] if i >= 0 and rows[i][0] == c else []
+    assert got(made, "a_doc", "a_th", "a_pos", "b_doc", "b_th") == sorted(want, key=repr)
 
 
 def test_chains():

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 #: Rows up to which a side may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -61,7 +63,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep the Arrow batches handed to Python small: texts may be long."""
+    """Before Python code runs: the package is there, and the Arrow batches handed to it are small, as texts may be long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -70,5 +73,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def in_python(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow``, with the package on its way to the workers first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

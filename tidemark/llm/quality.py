@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import in_python, small_batches
 
 LEVEL = 3
 CHUNK = 4096
@@ -105,7 +105,7 @@ def judged(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
             made = pa.StructArray.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(rows, fields, strict=True)], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, name])
 
-    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField(name, T.StructType.fromDDL(COLUMNS))]))
+    return in_python(docs, judge, T.StructType([*docs.schema.fields, T.StructField(name, T.StructType.fromDDL(COLUMNS))]))
 
 
 def clean(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import in_python, small_batches, stage
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint_of(x) for x in b.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
+    return in_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def remainder(word: np.ndarray) -> np.ndarray:
@@ -112,7 +112,7 @@ def golay_keys(distinct: DataFrame) -> DataFrame:
                 row, key = keys_of(fps)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row])], ["key", "fp"])
 
-    return distinct.select("fp").mapInArrow(run, "key bigint, fp bigint")
+    return in_python(distinct.select("fp"), run, "key bigint, fp bigint")
 
 
 def links(distinct: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stage
+from .common import in_python, partitions, stage
 
 NO_ID = -(1 << 63)
 ROWS = 100_000
@@ -63,41 +63,43 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def seeds(docs: DataFrame, pick) -> DataFrame:
-    """code, doc, th, pos: what ``pick(word codes)`` (positions, 64-bit codes) keeps of each text."""
+    """code, next, doc, th, pos: what ``pick(word codes)`` (positions, 64-bit codes, 64-bit codes of what follows) keeps of each text."""
 
     def run(batches):
         for b in batches:
             found = [pick(word_codes(x)) for x in b.column(2).to_pylist()]
-            counts = [len(p) for p, _ in found]
+            counts = [len(p) for p, _, _ in found]
             if sum(counts):
                 row = np.repeat(np.arange(len(counts)), counts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([c for _, c in found]).astype(np.uint64).view(np.int64)),
+                        pa.array(np.concatenate([c for _, c, _ in found]).astype(np.uint64).view(np.int64)),
+                        pa.array((np.concatenate([n for _, _, n in found]).astype(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         b.column(0).take(pa.array(row)),
                         b.column(1).take(pa.array(row)),
-                        pa.array(np.concatenate([p for p, _ in found]).astype(np.int32)),
+                        pa.array(np.concatenate([p for p, _, _ in found]).astype(np.int32)),
                     ],
-                    ["code", "doc", "th", "pos"],
+                    ["code", "next", "doc", "th", "pos"],
                 )
 
-    return _keyed(docs).mapInArrow(run, "code bigint, doc bigint, th int, pos int")
+    return in_python(_keyed(docs), run, "code bigint, next int, doc bigint, th int, pos int")
 
 
-ORDER = ("code", "doc", "th", "pos")
-_LINKS = "kind int, code bigint, a_doc bigint, a_th int, a_pos int, b_doc bigint, b_th int, b_pos int"
+ORDER = ("code", "next", "doc", "th", "pos")
+_LINKS = "kind int, code bigint, next int, a_doc bigint, a_th int, a_pos int, b_doc bigint, b_th int, b_pos int"
 
 
 def _link(batches):
-    """Rows in ORDER -> kind 0: a row and the last one before it with its code in another document. Kind 1: rows that begin
-    a partition and may have theirs in an earlier one. Kind 2: what later partitions may look for."""
-    kept = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+    """Rows in ORDER -> kind 0: a row and its mate in the document before it that has its code: the one of the same number
+    among the document's rows with the code, or else the last. Kind 1: rows that begin a partition and may have theirs in an
+    earlier one. Kind 2: what later partitions may look for, the last document with its code and the one before."""
+    kept = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32, np.int32)]
     opening, seen = None, False
     for b in batches:
         if not b.num_rows:
             continue
         lead = len(kept[0])
-        c, d, t, p = (np.concatenate((k, b.column(i).to_numpy(zero_copy_only=False))) for i, k in enumerate(kept))
+        c, m, d, t, p = (np.concatenate((k, b.column(i).to_numpy(zero_copy_only=False))) for i, k in enumerate(kept))
         n = len(c)
         fresh = np.ones(n, bool)
         fresh[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1]) | (t[1:] != t[:-1])
@@ -108,15 +110,14 @@ def _link(batches):
             opening, seen = (c[0], d[0], t[0]), True
         new = np.arange(n) >= lead
         a = np.nonzero(new & has)[0]
-        z = before[a]
+        z = np.minimum(start[before[a]] + a - start[a], before[a])
         o = np.nonzero(new & ~has & (c == opening[0]) & (d == opening[1]) & (t == opening[2]))[0]
-        yield _rows(np.zeros(len(a), np.int32), c[a], d[a], t[a], p[a], d[z], t[z], p[z])
-        yield _rows(np.ones(len(o), np.int32), c[o], d[o], t[o], p[o], d[o], t[o], p[o])
-        last = [int(before[-1])] * bool(has[-1]) + [n - 1]
-        kept = [x[last] for x in (c, d, t, p)]
+        yield _rows(np.zeros(len(a), np.int32), c[a], m[a], d[a], t[a], p[a], d[z], t[z], p[z])
+        yield _rows(np.ones(len(o), np.int32), c[o], m[o], d[o], t[o], p[o], d[o], t[o], p[o])
+        kept = [x[start[before[-1]] if has[-1] else start[-1] :] for x in (c, m, d, t, p)]
     if seen:
-        c, d, t, p = kept
-        yield _rows(np.full(len(c), 2, np.int32), c, d, t, p, d, t, p)
+        c, m, d, t, p = kept
+        yield _rows(np.full(len(c), 2, np.int32), c, m, d, t, p, d, t, p)
 
 
 def _rows(*columns: np.ndarray) -> pa.RecordBatch:
@@ -126,14 +127,14 @@ def _rows(*columns: np.ndarray) -> pa.RecordBatch:
 def neighbours(found: DataFrame) -> DataFrame:
     """a_*, b_*: each seed with the one before it in the global order that has its code in another document.
 
-    The order runs over document and position too, so the places of a passage that many documents share are spread over
+    Behind the code the order runs over what follows, so a seed meets one that goes on alike, and over document and position too, so the places of a passage that many documents share are spread over
     partitions; rows at the bounds of partitions are linked in a second, small pass (a few rows from each partition).
     """
     dealt = found.repartitionByRange(partitions(found.sparkSession), *ORDER).sortWithinPartitions(*ORDER)
-    linked = stage(dealt.mapInArrow(_link, _LINKS), "neighbours", ROWS)
-    edges = linked.filter("kind > 0").select("code", F.col("a_doc").alias("doc"), F.col("a_th").alias("th"), F.col("a_pos").alias("pos"))
-    across = edges.distinct().coalesce(1).sortWithinPartitions(*ORDER).mapInArrow(_link, _LINKS)
-    across = across.join(F.broadcast(linked.filter("kind = 1").select("code", "a_doc", "a_th", "a_pos").distinct()), ["code", "a_doc", "a_th", "a_pos"], "left_semi")
+    linked = stage(in_python(dealt, _link, _LINKS), "neighbours", ROWS)
+    edges = linked.filter("kind > 0").select("code", "next", F.col("a_doc").alias("doc"), F.col("a_th").alias("th"), F.col("a_pos").alias("pos"))
+    across = in_python(edges.distinct().coalesce(1).sortWithinPartitions(*ORDER), _link, _LINKS)
+    across = across.join(F.broadcast(linked.filter("kind = 1").select("code", "next", "a_doc", "a_th", "a_pos").distinct()), ["code", "next", "a_doc", "a_th", "a_pos"], "left_semi")
     pair = ("a_doc", "a_th", "a_pos", "b_doc", "b_th", "b_pos")
     return linked.filter("kind = 0").select(*pair).unionAll(across.filter("kind = 0").select(*pair))
 
@@ -146,7 +147,7 @@ def documents_as_codes(docs: DataFrame) -> DataFrame:
             flat = pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc", "th", "codes"])
 
-    return _keyed(docs).mapInArrow(run, "doc bigint, th int, codes array<int>")
+    return in_python(_keyed(docs), run, "doc bigint, th int, codes array<int>")
 
 
 def with_codes(pairs: DataFrame, docs: DataFrame) -> DataFrame:

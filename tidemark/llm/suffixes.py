@@ -1,12 +1,14 @@
 """Suffix-array dedup with sparse suffix arrays.
 
 Of each text only the suffixes at content-selected positions are kept: the minimisers, the least hash of every ``WINDOW``
-neighbouring k-grams. They are sorted over all documents by a hash of their first ``HEAD`` words (an order in which equal
-heads are neighbours, as in any suffix order), then by document and position. Neighbours from different documents share a
-head; each such match is extended left and right, word by word, and kept if it has at least ``LEAST`` words.
+neighbouring k-grams. They are sorted over all documents by a hash of their first ``HEAD`` words, then by one of their first
+``LEAST`` words (equal heads and equal beginnings are neighbours, as in any suffix order), then by document and position.
+Neighbours from different documents share a head; each such match is extended left and right, word by word, and kept if it
+has at least ``LEAST`` words.
 
 A run of LEAST words has a kept suffix among its first WINDOW positions, with at least HEAD words of the run after it, so
-every such run puts its documents side by side.
+every such run puts its documents into one group of heads. A run of LEAST + WINDOW - 1 words has one with LEAST words after
+it, and there every neighbour is a match.
 
 Defined cases: null, empty and short texts have no passage; rows repeated as they are count as one document; a passage that
 occurs twice in one document alone isn't reported; a null id comes first and shows as null.
@@ -19,18 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, unstage
+from .common import in_python, stage, unstage
 from .spans import ROWS, TEXTS, gram_hashes, merged, minimizers, neighbours, seeds, with_codes
 
-GRAM, WINDOW, HEAD, LEAST = 8, 19, 32, 50
+GRAM, WINDOW, HEAD, LEAST = 8, 12, 40, 51
 
 
-def kept_suffixes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the sparse suffixes that have a whole head, and the hashes of the heads."""
-    heads = gram_hashes(codes, HEAD)
+def kept_suffixes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the sparse suffixes that have a whole head, the hashes of the heads and of the first LEAST words."""
+    heads, whole = gram_hashes(codes, HEAD), np.zeros(len(codes), np.uint64)
+    begun = gram_hashes(codes, LEAST)
+    whole[: len(begun)] = begun
     at = minimizers(gram_hashes(codes, GRAM), WINDOW)
     at = at[at < len(heads)]
-    return at, heads[at]
+    return at, heads[at], whole[at]
 
 
 def _extend(batches):
@@ -70,7 +74,7 @@ def matches(docs: DataFrame) -> DataFrame:
     lo = F.greatest(F.col("least") - WINDOW, F.col("diag"), F.lit(0))
     spans = diagonals.withColumn("a_lo", lo).withColumn("a_hi", F.col("most") + HEAD + WINDOW + GRAM)
     spans = spans.withColumn("b_lo", F.col("a_lo") - F.col("diag")).withColumn("b_hi", F.col("a_hi") - F.col("diag")).drop("least", "most")
-    return with_codes(spans, docs).mapInArrow(_extend, _RUNS)
+    return in_python(with_codes(spans, docs), _extend, _RUNS)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, small_batches
+from .common import in_python, new_path, partitions, small_batches
 
 SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES = 600, 4096, 64 * 1024
 BLOCK_BYTES, BLOCK_DOCS = 2 << 20, 4096
-CACHE_UNITS = 1 << 20
+CACHE_UNITS = 1 << 19
 LEVEL = 3
 
 
@@ -271,7 +271,7 @@ def fit_dictionary(docs: DataFrame, path: str) -> tuple[bytes, int]:
             cut = SAMPLE_IDS * encoder.dtype.itemsize
             yield pa.RecordBatch.from_arrays([pa.array([x[:cut] for x in encoder.serialize(_texts(b.column(0)))], pa.binary())], ["ids"])
 
-    rows = sample.select("text").mapInArrow(encode, "ids binary").collect()  # SAMPLE rows of SAMPLE_IDS ids at most
+    rows = in_python(sample.select("text"), encode, "ids binary").collect()  # SAMPLE rows of SAMPLE_IDS ids at most
     return train([bytes(r.ids) for r in rows]), encoder_for(path).dtype.itemsize
 
 
@@ -319,7 +319,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None) -> Non
 
     order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
     dealt = order.repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    dealt.mapInArrow(pack, BLOCKS).write.parquet(f"{out}/blocks")
+    in_python(dealt, pack, BLOCKS).write.parquet(f"{out}/blocks")
 
 
 def read_tokens(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
@@ -361,7 +361,7 @@ def read_tokens(spark: SparkSession, out: str, with_ids: bool = False) -> DataFr
                     columns = list(zip(*out_rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if k == "ids" else pa.int64()) for k, c in zip(names, columns, strict=True)], names)
 
-    return blocks.join(starts, ["shard", "block"]).mapInArrow(unpack, kind)
+    return in_python(blocks.join(starts, ["shard", "block"]), unpack, kind)
 
 
 def read_document(spark: SparkSession, out: str, doc_id: int) -> list[list[int]]:
