@@ -110,8 +110,7 @@ def _lane_hits(docs: DataFrame, items: DataFrame, t: int, limit: int) -> DataFra
             "doc_id", "text_hash", "words", F.explode(F.sequence(F.greatest(at + (k - t), F.lit(0)), F.least(at, n - t))).alias("start")
         )
         .select("doc_id", "text_hash", "start", _run(F.col("words"), F.col("start"), t).alias("window"))
-        .distinct()
-    )
+    )  # a window that holds two seeds comes twice; that changes neither the hit words nor the set of items
     known = _benchmark_windows(items, t)
     known = maybe_broadcast(known, known.count(), limit // 5)
     return windows.join(known, "window").select("doc_id", "text_hash", "start", F.lit(t).alias("span"), "item_ids")
