@@ -75,11 +75,14 @@ def _ranked(df: DataFrame, p: str, row: str, parts: int = 256) -> DataFrame:
     edges = df.agg(F.percentile_approx(p, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("e")).first().e or []
     cut = F.array(*[F.lit(float(e)) for e in sorted(set(edges))]).cast("array<double>")
     sliced = df.withColumn("slice", F.size(F.filter(cut, lambda e: e < F.col(p))))
-    sizes = sliced.groupBy("slice").agg(F.count("*").alias("k"))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
-    sizes = sizes.select("slice", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("lead"), F.sum("k").over(Window.partitionBy()).alias("total"))
+    sizes = dict(sliced.groupBy("slice").count().collect())  # a row per slice, ``parts`` at most
+    lead, upto = [], 0
+    for i in range(len(set(edges)) + 1):
+        lead.append(upto)
+        upto += sizes.get(i, 0)
     at = F.row_number().over(Window.partitionBy("slice").orderBy(p, row))
-    return sliced.withColumn("at", at).join(F.broadcast(sizes), "slice").withColumn("place", F.col("lead") + F.col("at") - 1).drop("slice", "at", "lead")
+    place = F.get(F.array(*[F.lit(x) for x in lead]), F.col("slice")).cast("bigint") + F.col("at") - 1
+    return sliced.withColumn("at", at).withColumn("place", place).withColumn("total", F.lit(upto).cast("bigint")).drop("slice", "at")
 
 
 def _ntile(bins: int) -> Column:
@@ -108,17 +111,21 @@ def band_report(df: DataFrame, costs: tuple[float, float, float], *by: str, p: s
     return g.withColumn("rate", F.col("k") / F.col("n")).withColumn("cost", cost.cast("double"))
 
 
-def bootstrap(df: DataFrame, draws: int, seed: int = 42, key: str = "id", label: str = "label", score: str = "score", threshold: float = 0.5) -> DataFrame:
-    """draw, precision, recall: each row (or group, by its key) gets a Poisson(1) weight in each draw from a hash, so all
-    measures share their draws and nothing is resampled by position."""
-    u = F.pmod(F.xxhash64(F.col(key), F.col("draw"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+def poisson_one(key: Column, draw: Column, seed: int) -> Column:
+    """A Poisson(1) weight from a hash of key and draw, by the inverse of its distribution."""
+    u = F.pmod(F.xxhash64(key, draw, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     cdf, total, p = [], 0.0, 0.36787944117144233
     for k in range(1, 16):
         total += p
         cdf.append(total)
         p /= k
-    weight = sum(((u >= c).cast("int") for c in cdf), F.lit(0))
-    many = df.select(key, label, score, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
+    return sum(((u >= c).cast("int") for c in cdf), F.lit(0))
+
+
+def bootstrap(df: DataFrame, draws: int, seed: int = 42, key: str = "id", label: str = "label", score: str = "score", threshold: float = 0.5) -> DataFrame:
+    """draw, precision, recall: each row (or group, by its key) gets a Poisson(1) weight in each draw from a hash, so all
+    measures share their draws and nothing is resampled by position."""
+    many = df.select(key, label, score, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", poisson_one(F.col(key), F.col("draw"), seed))
     hit = F.col(score) >= threshold
     g = many.groupBy("draw").agg(F.sum(F.when(hit & (F.col(label) == 1), F.col("w")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("w")).otherwise(0)).alias("alerts"), F.sum(F.col("w") * F.col(label)).alias("positives"))
     return g.select("draw", F.try_divide(F.col("tp").cast("double"), F.col("alerts")).alias("precision"), F.try_divide(F.col("tp").cast("double"), F.col("positives")).alias("recall"))
