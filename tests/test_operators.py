@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidemark.functions import scalar
-from tidemark.operators import causal, correlate, encode, evaluate, graph, guards, monitor, profile
+from tidemark.operators import causal, challenge, checks, correlate, encode, evaluate, graph, guards, monitor, prepare, profile
 from tidemark.sources import csv
 from tidemark.streaming import online
 
@@ -248,3 +248,63 @@ def test_plans(frame):
     """One exchange per grain: windows of a key and of (key, value) share it."""
     plan = frame.select("id", *[c.alias(n) for n, c in (causal.velocity("entity") | causal.recency() | causal.amount()).items()])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_prepared_frames(spark, frame):
+    cut = 40 * HOUR
+    train = frame.filter(F.col("ts") < cut)
+    recipe = prepare.Recipe(origins=("tenure",), texts={"device": scalar.normalise_device}, indicators={"d": "dist"}, levels=("product",), counts=("card",), least_levels=1, targets=("addr1",), blocks={"b": ["dist"]}, clipped=("amount",))
+    fitted = prepare.fit_preparation(train, recipe, cut)
+    out = prepare.apply_preparation(frame, fitted)
+    assert out.columns == sorted(out.columns) and "dist" not in out.columns and "tenure" not in out.columns
+    assert out.count() == frame.count()
+    # What comes at or after the boundary changes neither the fit nor an encoded value.
+    flipped = frame.withColumn("label", F.when(F.col("ts") < cut, F.col("label")).otherwise(1 - F.col("label")))
+    same = prepare.apply_preparation(flipped, fitted)
+    assert out.select("id", "addr1_te").exceptAll(same.select("id", "addr1_te")).isEmpty()
+    with pytest.raises(guards.TrainOnlyError):
+        prepare.fit_preparation(frame, recipe, cut)
+    done = prepare.apply_complete(frame, prepare.fit_complete(train, ["dist"], ["tenure"], ["dist"], ["product"], boundary=cut))
+    assert done.columns == ["id", "dist", "tenure", "dist_missing", "tenure_missing", "product=C", "product=W"]
+    assert done.filter(F.greatest(*[F.col(f"`{c}`").isNull() for c in done.columns])).isEmpty()
+    mean = done.join(train.select("id"), "id").agg(F.avg("dist"), F.stddev_pop("dist")).first()
+    assert abs(mean[0]) < 1e-9 and abs(mean[1] - 1) < 1e-9
+    codes = prepare.fit_levels(train.filter("device = 'b' or device is null"), ["device"], boundary=cut)
+    tree = {r.id: r.device for r in prepare.tree_matrix(frame, [], ["device"], codes).collect()}
+    assert all(tree[r.id] == (0.0 if r.device == "b" else None) for r in frame.select("id", "device").collect())
+
+
+def test_time_checks(spark, rows, frame):
+    early, late_ = frame.filter(F.col("ts") < 30 * HOUR), frame.filter(F.col("ts") >= 30 * HOUR)
+
+    def auc(pairs):
+        p, q = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+        return sum((a > b) + (a == b) / 2 for a in p for b in q) / (len(p) * len(q))
+
+    a, b = [r for r in rows if r[1] < 30 * HOUR], [r for r in rows if r[1] >= 30 * HOUR]
+    rate = {k: sum(r[12] for r in a if r[6] == k) / sum(r[6] == k for r in a) for k in {r[6] for r in a}}
+    got = challenge.time_consistency(early, late_, [], ["device"]).first()
+    assert got.early_auc == pytest.approx(auc([(rate[r[6]], r[12]) for r in a])) and got.late_auc == pytest.approx(auc([(rate[r[6]], r[12]) for r in b]))
+    one = challenge.single_column_auc(early, late_, ["dist", "amount"]).filter("column = 'dist'").first().auc
+    assert one == pytest.approx(auc([(-1 if r[10] is None else r[10], r[1] >= 30 * HOUR) for r in rows]))
+    assert challenge.single_column_auc(early.withColumn("dist", F.lit(1.0)), late_.withColumn("dist", F.lit(1.0)), ["dist"]).first().auc is None
+    for r in challenge.rate_bootstrap(frame, 100, "product").collect():
+        assert r.low <= r.rate <= r.high
+    table = {(r.days, r.treatment): r for r in challenge.label_latency(frame, [0, 1], 24 * HOUR).collect()}
+    assert table[0, "immature"].rate == table[0, "excluded"].rate == table[0, "excluded"].true_rate
+    assert table[1, "immature"].n == len(rows) and table[1, "excluded"].n == sum(r[1] < max(x[1] for x in rows) - 24 * HOUR for r in rows)
+    with pytest.raises(guards.MaturityError):
+        challenge.performance(guards.batch_index(frame.withColumn("score", F.lit(0.5)), 1, 24 * HOUR), 0.5, 24 * HOUR, 30, 24 * HOUR)
+
+
+def test_checks(spark, rows, frame):
+    kinds = checks.entity_stats(frame, "entity", "addr1", "dist").first()
+    groups = {k: [r[12] for r in rows if r[2] == k] for k in {r[2] for r in rows}}
+    assert kinds.entities == len(groups) and kinds.mixed == sum(0 < sum(g) < len(g) for g in groups.values())
+    assert kinds.null_part_rows == sum(r[8] is None or r[10] is None for r in rows)
+    warm = checks.coverage(frame.withColumn("split", F.lit("x")), ["addr1"]).first()
+    assert warm.n_cold == sum(r[8] is None or not any(q[8] == r[8] and q[1] < r[1] for q in rows) for r in rows)
+    broken = checks.impossible(frame, {"dist": F.col("dist") > 3}).first()
+    assert broken.n == sum(r[10] is not None and r[10] > 3 for r in rows)
+    assert {r.state for r in checks.agreement(frame, "browser", "addr2").collect()} == {"same", "differs", "one_missing", "both_missing"}
+    assert checks.concentration(frame, "device", 1).first().top_share == pytest.approx(max(sum(r[6] == k for r in rows) for k in "ab") / sum(r[6] is not None for r in rows))
