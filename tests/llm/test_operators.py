@@ -309,6 +309,29 @@ def test_neighbours_over_partitions(spark):
     assert got(made, "a_doc", "a_th", "a_pos", "b_doc", "b_th") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_surplus_of_the_first_document_is_linked(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    r = random.Random(6)
+    rows = sorted({(c, 0, d, 0, p) for c in range(40) for d in range(r.randint(1, 3)) for p in r.sample(range(50), r.choice([1, 2, 9]))})
+    made = spans.neighbours(spark.createDataFrame(rows, "code bigint, next int, doc bigint, th int, pos int"), surplus=True).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    linked = {(x[0], x[2]) for x in made} | {(x[3], x[5]) for x in made}
+    shared = {c for c in range(40) if len({x[2] for x in rows if x[0] == c}) > 1}
+    assert all(x.a_doc != x.b_doc for x in made)
+    assert {(x[2], x[4]) for x in rows if x[0] in shared} <= linked
+
+
+def test_a_passage_twice_in_the_first_document(spark):
+    r = random.Random(8)
+    passage = prose(70, r)
+    twice = " ".join([prose(20, r), passage, prose(300, r), passage, prose(20, r)])
+    docs = spark.createDataFrame([(1, twice), (2, prose(15, r) + " " + passage + " " + prose(15, r))], "doc_id bigint, text string")
+    for op in (suffixes.op9_digest, passages.op4_digest):
+        covered = {w for x in op(docs).filter("doc_id = 1").collect() for w in range(x.start_word, x.end_word)}
+        assert {*range(20, 90), *range(390, 460)} <= covered
+
+
 def test_chains():
     r = random.Random(2)
     for _ in range(60):

@@ -92,9 +92,31 @@ _LINKS = "kind int, code bigint, next int, a_doc bigint, a_th int, a_pos int, b_
 def _link(batches):
     """Rows in ORDER -> kind 0: a row and its mate in the document before it that has its code: the one of the same number
     among the document's rows with the code, or else the last. Kind 1: rows that begin a partition and may have theirs in an
-    earlier one. Kind 2: what later partitions may look for, the last document with its code and the one before."""
+    earlier one. Kind 2: what later partitions may look for, the last document with its code and the one before. Kind 3: rows
+    of a code's first document beyond the next one's count, each as the mate of that one's last row. Kind 4: the last row of the
+    document behind the one that begins the partition, for such rows in an earlier partition."""
     kept = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32, np.int32)]
-    opening, seen = None, False
+    opening, seen, behind = None, False, False
+
+    def surplus(columns, start, closed):
+        """Numbers of first rows and of the rows that take them; the last document's rows count if they are all there."""
+        c = columns[0]
+        at = np.unique(start)
+        if len(at) < 2:
+            return np.zeros((2, 0), np.int64)
+        size = np.diff(np.append(at, len(c)))
+        i = np.arange(1, len(at) if closed else len(at) - 1)
+        first = (i == 1) | (c[at[np.maximum(i - 2, 0)]] != c[at[i - 1]])
+        i = i[(c[at[i]] == c[at[i - 1]]) & first & (size[i - 1] > size[i])]
+        over = size[i - 1] - size[i]
+        number = np.arange(over.sum()) - np.repeat(np.cumsum(over) - over, over)
+        return np.stack([np.repeat(at[i - 1] + size[i], over) + number, np.repeat(at[i] + size[i] - 1, over)])
+
+    def forward(columns, start, closed):
+        z, a = surplus(columns, start, closed)
+        c, m, d, t, p = columns
+        return _rows(np.full(len(a), 3, np.int32), c[a], m[a], d[a], t[a], p[a], d[z], t[z], p[z])
+
     for b in batches:
         if not b.num_rows:
             continue
@@ -114,9 +136,17 @@ def _link(batches):
         o = np.nonzero(new & ~has & (c == opening[0]) & (d == opening[1]) & (t == opening[2]))[0]
         yield _rows(np.zeros(len(a), np.int32), c[a], m[a], d[a], t[a], p[a], d[z], t[z], p[z])
         yield _rows(np.ones(len(o), np.int32), c[o], m[o], d[o], t[o], p[o], d[o], t[o], p[o])
+        yield forward((c, m, d, t, p), start, False)
+        other = np.nonzero((c == opening[0]) & ((d != opening[1]) | (t != opening[2])))[0]
+        if not behind and len(other):
+            behind, e = True, other[np.nonzero(start[other] == start[other[0]])[0][-1:]]
+            yield _rows(np.full(len(e), 4, np.int32), c[e], m[e], d[e], t[e], p[e], d[e], t[e], p[e])
         kept = [x[start[before[-1]] if has[-1] else start[-1] :] for x in (c, m, d, t, p)]
     if seen:
         c, m, d, t, p = kept
+        fresh = np.ones(len(c), bool)
+        fresh[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+        yield forward(kept, np.maximum.accumulate(np.where(fresh, np.arange(len(c)), 0)), True)
         yield _rows(np.full(len(c), 2, np.int32), c, m, d, t, p, d, t, p)
 
 
@@ -124,19 +154,22 @@ def _rows(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in _LINKS.split(", ")])
 
 
-def neighbours(found: DataFrame) -> DataFrame:
+def neighbours(found: DataFrame, surplus: bool = False) -> DataFrame:
     """a_*, b_*: each seed with the one before it in the global order that has its code in another document.
 
     Behind the code the order runs over what follows, so a seed meets one that goes on alike, and over document and position too, so the places of a passage that many documents share are spread over
     partitions; rows at the bounds of partitions are linked in a second, small pass (a few rows from each partition).
+    ``surplus``: also link the rows of a code's first document that the next one's rows leave over, so that none is without.
     """
     dealt = found.repartitionByRange(partitions(found.sparkSession), *ORDER).sortWithinPartitions(*ORDER)
     linked = stage(in_python(dealt, _link, _LINKS), "neighbours", ROWS)
-    edges = linked.filter("kind > 0").select("code", "next", F.col("a_doc").alias("doc"), F.col("a_th").alias("th"), F.col("a_pos").alias("pos"))
+    edges = linked.filter("kind in (1, 2, 4)").select("code", "next", F.col("a_doc").alias("doc"), F.col("a_th").alias("th"), F.col("a_pos").alias("pos"))
     across = in_python(edges.distinct().coalesce(1).sortWithinPartitions(*ORDER), _link, _LINKS)
-    across = across.join(F.broadcast(linked.filter("kind = 1").select("code", "next", "a_doc", "a_th", "a_pos").distinct()), ["code", "next", "a_doc", "a_th", "a_pos"], "left_semi")
+    beyond = across.filter("kind = 3")
+    across = across.join(F.broadcast(linked.filter("kind in (1, 4)" if surplus else "kind = 1").select("code", "next", "a_doc", "a_th", "a_pos").distinct()), ["code", "next", "a_doc", "a_th", "a_pos"], "left_semi")
     pair = ("a_doc", "a_th", "a_pos", "b_doc", "b_th", "b_pos")
-    return linked.filter("kind = 0").select(*pair).unionAll(across.filter("kind = 0").select(*pair))
+    out = linked.filter("kind = 0").select(*pair).unionAll(across.filter("kind = 0").select(*pair))
+    return out.unionAll(linked.filter("kind = 3").select(*pair)).unionAll(beyond.select(*pair)) if surplus else out
 
 
 def documents_as_codes(docs: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ _RUNS = "a_doc bigint, a_th int, b_doc bigint, b_th int, a_start int, a_stop int
 def matches(docs: DataFrame) -> DataFrame:
     """Equal runs of at least LEAST words between neighbouring documents, as large as they get."""
     found = stage(seeds(docs, kept_suffixes), "suffixes", TEXTS)
-    near = neighbours(found)
+    near = neighbours(found, surplus=True)
     diagonals = near.groupBy("a_doc", "a_th", "b_doc", "b_th", (F.col("a_pos") - F.col("b_pos")).alias("diag")).agg(F.min("a_pos").alias("least"), F.max("a_pos").alias("most"))
     diagonals = stage(diagonals, "diagonals", ROWS)
     unstage(found)
