@@ -368,6 +368,21 @@ def test_passages(spark):
     assert len(out[fuzzy]) >= 45
 
 
+def varied(words, r, changes):
+    out = list(words)
+    for i in changes:
+        out[i] = prose(1, r) + "x"
+    return " ".join([prose(30, r), *out, prose(30, r)])
+
+
+def test_every_one_of_many_variants_is_found(spark):
+    r = random.Random(10)
+    passage = prose(50, r).split()
+    made = [(i, varied(passage, r, r.sample(range(3, 47), 3))) for i in range(100)]
+    out = passages.op4_digest(spark.createDataFrame(made, "doc_id bigint, text string"))
+    assert len({x.doc_id for x in out.collect()}) >= 95
+
+
 def test_pii():
     plain = "mail a.b@x-y.co.uk, 10.0.0.256 10.0.0.255 card 4111 1111 1111 1111 +1 (415) 555-0100 done"
     base, added = pii.search(plain)
