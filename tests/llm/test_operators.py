@@ -383,6 +383,16 @@ def test_every_one_of_many_variants_is_found(spark):
     assert len({x.doc_id for x in out.collect()}) >= 95
 
 
+def test_sparse_changes_leave_a_seed_in_every_passage(spark):
+    r = random.Random(11)
+    made = []
+    for i in range(30):
+        words = prose(60, r).split()
+        made += [(2 * i, varied(words, r, [])), (2 * i + 1, varied(words, r, range(6, 60, 6)))]
+    out = passages.op4_digest(spark.createDataFrame(made, "doc_id bigint, text string")).collect()
+    assert {x.doc_id for x in out} == set(range(60)) and all(x.n_words >= passages.LEAST for x in out)
+
+
 def test_pii():
     plain = "mail a.b@x-y.co.uk, 10.0.0.256 10.0.0.255 card 4111 1111 1111 1111 +1 (415) 555-0100 done"
     base, added = pii.search(plain)
