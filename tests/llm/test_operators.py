@@ -368,6 +368,23 @@ def test_passages(spark):
     assert len(out[fuzzy]) >= 45
 
 
+def test_spelled_digits_among_figures():
+    cases = {
+        "phone": ["plus 4 nine 1 seven 2 three 3 four 5 six 6", "plus four 4 two 0 seven 9 four 6 zero 9 five 8"],
+        "card": ["four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1"],
+        "ip": ["one dot 2 dot three dot four"],
+    }
+    for kind, texts_ in cases.items():
+        for t in texts_:
+            for text in (f"schön: {t}; ok", f"call ({t})", f"call ({t}) or one two three"):
+                assert t in [text[a:z] for a, z in pii.search(text)[1][kind]], (text, pii.search(text))
+    r = random.Random(9)
+    for _ in range(3000):
+        text = "".join(r.choice([" one", " TWO", "-three", ",vier", " 5", " 67", " dot", " point", "plus ", "(", ")", ";", "x", " fİve", " sıx", "_", "\n"]) for _ in range(9))
+        if any(pii._digits(m[0], m.start()) for m in pii._RUN.finditer(text)):
+            assert pii.spelled_run(text.lower()), text
+
+
 def varied(words, r, changes):
     out = list(words)
     for i in changes:

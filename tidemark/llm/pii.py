@@ -43,8 +43,10 @@ _WORD = "(?:" + "|".join(sorted(map(re.escape, SPELLED), key=len, reverse=True))
 #: Two spelled digits or more with spaces, hyphens or dots between; a sign or digits may stand among them.
 _RUN = re.compile(rf"(?<![^\W_])(?:plus[ -]+)?(?:{_WORD}|[0-9]+)(?:(?:[ ,.-]+|[ ]+(?:dot|point)[ ]+)(?:{_WORD}|[0-9]+))+(?![^\W_])", re.I)
 _PART = re.compile(rf"(?P<plus>plus)|(?P<word>{_WORD}(?![^\W\d_]))|(?P<point>dot|point)", re.I)
-#: Words that a spelled run is made of; three in a row are looked for before anything slower.
-_SPOKEN = {*SPELLED, "plus", "dot", "point"}
+#: Words that a spelled run is made of, by whether they count; runs with three that count are looked for before anything slower.
+_SPOKEN = {**dict.fromkeys(("plus", "dot", "point"), 1), **dict.fromkeys(SPELLED, 2)}
+_BETWEEN = re.compile(r"[\W_]+")
+_THREE = re.compile(rb"\x02\x01*\x02\x01*\x02")
 _AT = r"(?:[ ]*[\[({<][ ]*(?:at|arroba|@)[ ]*[\])}>][ ]*)"
 _DOT = r"(?:[ ]*[\[({<][ ]*(?:dot|punkt|point|punto|\.)[ ]*[\])}>][ ]*)"
 _LABEL = r"[A-Za-z0-9-]+"
@@ -100,9 +102,14 @@ _FOLD_SET = frozenset(map(chr, _FOLDED))
 
 
 def spelled_run(low: str) -> bool:
-    """Does a lower-case text have three spoken digits in a row?"""
-    tokens = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
-    return bytes(map(_SPOKEN.__contains__, tokens)).find(b"\1\1\1") >= 0
+    """Does a lower-case text have three spoken digits among which only figures, signs and points stand?"""
+    tokens = _BETWEEN.split(_plain_i(low))
+    return _THREE.search(bytes([_SPOKEN.get(x) or x.isdigit() for x in tokens])) is not None
+
+
+def _plain_i(low: str) -> str:
+    """Lower-case text with the forms of i that a search without case takes for it."""
+    return low if low.isascii() else low.replace("i̇", "i").replace("ı", "i")
 
 
 def disguised_at(text: str, low: str) -> bool:
@@ -168,7 +175,7 @@ def _digits(run: str, at: int) -> list[tuple[int, int, str]]:
         if m["word"]:
             if last is not None and not run[last : m.start()].strip(" ,-"):
                 changes.append((at + last, a, ""))
-            changes.append((a, z, SPELLED[m[0].lower()]))
+            changes.append((a, z, SPELLED[_plain_i(m[0].lower())]))
             last = m.end()
         elif m["plus"]:
             changes.append((a, at + len(run) - len(run[m.end() :].lstrip(" -")), "+"))
