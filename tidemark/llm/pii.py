@@ -6,7 +6,11 @@ and disguises of ``@`` and ``.`` such as ``(at)``, ``[dot]`` or ``name at host d
 what is found there is mapped back to characters of the source. Spans of the plain text stay as they are; a span of the
 rewritten text is added unless nothing in it was rewritten or it lies inside a plain one.
 
-Defined cases: a null text has no spans; repeated rows are searched apart and alike; texts are read whole; ids may be null.
+Every search takes time in proportion to the text: an address is found from its ``@`` or disguise, grown left over the user and
+right over the host, and a run of figures is entered at its beginning alone.
+
+Defined cases: a null or empty text has no spans; repeated rows are searched apart and alike, ties (rows of one id) too; texts are
+read whole, however long; ids may be null and of any type; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +27,9 @@ from pyspark.sql import DataFrame
 from .common import in_python, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+USER = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
@@ -47,18 +53,21 @@ _PART = re.compile(rf"(?P<plus>plus)|(?P<word>{_WORD}(?![^\W\d_]))|(?P<point>dot
 _SPOKEN = {**dict.fromkeys(("plus", "dot", "point"), 1), **dict.fromkeys(SPELLED, 2)}
 _BETWEEN = re.compile(r"[\W_]+")
 _THREE = re.compile(rb"\x02\x01*\x02\x01*\x02")
-_AT = r"(?:[ ]*[\[({<][ ]*(?:at|arroba|@)[ ]*[\])}>][ ]*)"
-_DOT = r"(?:[ ]*[\[({<][ ]*(?:dot|punkt|point|punto|\.)[ ]*[\])}>][ ]*)"
-_LABEL = r"[A-Za-z0-9-]+"
-_DISGUISED = re.compile(
-    rf"(?P<user>[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*)(?P<at>{_AT}|[ ]+at[ ]+|@)(?P<host>{_LABEL}(?:(?:\.|{_DOT}|[ ]+dot[ ]+){_LABEL})+)", re.I
-)
+_DOT = r"(?:[ ]*+[\[({<][ ]*+(?:dot|punkt|point|punto|\.)[ ]*+[\])}>][ ]*+)"
+_LABEL = r"[A-Za-z0-9-]++"
+#: What may stand for ``@``; blanks on either side belong to it, but for a bare ``@``.
+_SIGN = re.compile(r"[\[({<][ ]*+(?:at|arroba|@)[ ]*+[\])}>]|(?<=[ ])at(?=[ ])|@", re.I)
+_BLANKS, _JOINS = re.compile(r"[ ]*+"), re.compile(r"[ -]*+")
+_HOST = re.compile(rf"{_LABEL}(?:(?:\.|{_DOT}|[ ]++dot[ ]++){_LABEL})+", re.I)
+#: The user before the sign, on the text turned round.
+_TOD = r"(?:[ ]*+[\])}>][ ]*+(?:tod|tknup|tniop|otnup|\.)[ ]*+[\[({<][ ]*+)"
+_RESU = re.compile(rf"[A-Za-z0-9_%+-]++(?:(?:\.|{_TOD})[A-Za-z0-9_%+-]++)*", re.I)
 #: Ends of host names that bare words may spell; brackets say enough by themselves.
 _ENDS = set("com org net edu gov info biz io co uk de fr es it nl eu us ca ch at be pl ru jp cn in br au mx ar".split())
 _BARE = re.compile(r"[ ](?:at|dot)[ ]", re.I)
 _ANY_DOT = re.compile(rf"{_DOT}|[ ]+dot[ ]+", re.I)
 _BRACKETED = re.compile(r"[\[({<][ ]*(?:at|arroba|@|dot|punkt|point|punto|\.)[ ]*[\])}>]", re.I)
-_DOTTED_IP = re.compile(rf"[0-9]+(?:(?:\.|{_DOT}|[ ]+dot[ ]+)[0-9]+){{3}}", re.I)
+_DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]++(?:(?:\.|{_DOT}|[ ]++dot[ ]++)[0-9]++){{3}}", re.I)
 
 Span = tuple[int, int]
 
@@ -68,13 +77,28 @@ def luhn(digits: str) -> bool:
     return (odd + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
+def emails(text: str) -> list[Span]:
+    """Leftmost, non-overlapping: from each ``@``, as far left as users go but not into the match before, and right over the host."""
+    out, after, free = [], 0, 0
+    while (sign := text.find("@", after)) >= 0:
+        start = len(text[free:sign].rstrip(USER)) + free
+        after = free = sign + 1
+        if start < sign and (host := HOST.match(text, after)):
+            out.append((start, host.end()))
+            after = free = host.end()
+    return out
+
+
+def _in_range(ip: str) -> bool:
+    return all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or "0") <= 255 for x in ip.split("."))
+
+
 def find(text: str) -> dict[str, list[Span]]:
     """The plain identifiers: leftmost, non-overlapping in a kind; a match that fails its rule is dropped whole."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
-    if "@" in text:
-        out["email"] = [m.span() for m in EMAIL.finditer(text)]
+    out["email"] = emails(text)
     if DIGITS.search(text):
-        out["ip"] = [m.span() for m in IP.finditer(text) if all(int(x) <= 255 if len(x) < 10 else not x.lstrip("0") or len(x.lstrip("0")) < 4 and int(x.lstrip("0")) <= 255 for x in m[0].split("."))]
+        out["ip"] = [m.span() for m in IP.finditer(text) if _in_range(m[0])]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 d = m[0].replace(" ", "").replace("-", "")
@@ -169,7 +193,7 @@ def _digits(run: str, at: int) -> list[tuple[int, int, str]]:
     parts = list(_PART.finditer(run))
     if sum(1 for m in parts if m["word"]) < 3:
         return []
-    changes, last = [], None
+    changes, last, end = [], None, 0
     for m in parts:
         a, z = at + m.start(), at + m.end()
         if m["word"]:
@@ -178,14 +202,38 @@ def _digits(run: str, at: int) -> list[tuple[int, int, str]]:
             changes.append((a, z, SPELLED[_plain_i(m[0].lower())]))
             last = m.end()
         elif m["plus"]:
-            changes.append((a, at + len(run) - len(run[m.end() :].lstrip(" -")), "+"))
+            changes.append((a, at + _JOINS.match(run, m.end()).end(), "+"))
         else:
-            left = len(run[: m.start()].rstrip(" "))
-            right = len(run) - len(run[m.end() :].lstrip(" "))
-            changes.append((at + left, at + right, "."))
+            left = m.start() - len(run[end : m.start()]) + len(run[end : m.start()].rstrip(" "))
+            changes.append((at + left, at + _BLANKS.match(run, m.end()).end(), "."))
+        end = m.end()
     return changes
 
 
+def addresses(text: str) -> list[tuple[Span, Span, Span]]:
+    """user, sign with its blanks and host of what may be a disguised address, in order and apart. A user doesn't go beyond the
+    sign before; a match that a rule drops later still takes its text."""
+    out, turned, free = [], text[::-1], 0
+    for sign in _SIGN.finditer(text):
+        left, right = sign.span()
+        if left < free:
+            continue
+        if sign[0] != "@":
+            left = free + len(text[free:left].rstrip(" "))
+            right = _BLANKS.match(text, right).end()
+        user = _RESU.match(turned, len(text) - left, len(text) - free)
+        free = max(free, left) if sign[0] == "@" else sign.end()
+        if user and (host := _HOST.match(text, right)):
+            out.append(((len(text) - user.end(), left), (left, right), host.span()))
+            free = host.end()
+    return out
+
+
+def _spelled_out(host: str) -> bool:
+    """Do bare words spell a host with a known ending?"""
+    return _BARE.search(host) is not None and host.lower().rsplit(None, 1)[-1].rsplit(".", 1)[-1] in _ENDS
+
+
 def rewrite(text: str) -> Rewritten | None:
     """The deobfuscated text, or None if nothing in it is disguised."""
     now, changed = Rewritten(text), False
@@ -198,17 +246,17 @@ def rewrite(text: str) -> Rewritten | None:
             now, changed = now.replace(changes), True
     if disguised_at(now.text, low):
         changes, taken = [], []
-        for m in _DISGUISED.finditer(now.text):
-            if _BARE.search(m["at"] + m["host"]) and not (_BARE.search(m["host"]) and m["host"].lower().rsplit(None, 1)[-1].rsplit(".", 1)[-1] in _ENDS):
+        for user, at, host in addresses(now.text):
+            if _BARE.search(now.text[at[0] : host[1]]) and not _spelled_out(now.text[slice(*host)]):
                 continue
-            taken.append(m.span())
-            for name in ("user", "at", "host"):
-                if name == "at":
-                    changes.append((*m.span("at"), "@"))
-                else:
-                    changes += [(m.start(name) + d.start(), m.start(name) + d.end(), ".") for d in _ANY_DOT.finditer(m[name])]
+            taken.append((user[0], host[1]))
+            for a, z in (user, host):
+                changes += [(a + d.start(), a + d.end(), ".") for d in _ANY_DOT.finditer(now.text[a:z])]
+            changes.append((*at, "@"))
+        begins = [a for a, _ in taken]
         for m in _DOTTED_IP.finditer(now.text):
-            if not any(a < m.end() and m.start() < z for a, z in taken):
+            k = bisect_left(begins, m.end())
+            if not k or taken[k - 1][1] <= m.start():
                 changes += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _ANY_DOT.finditer(m[0])]
         if changes:
             now, changed = now.replace(sorted(changes)), True
@@ -220,7 +268,8 @@ def search(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span
     text = text or ""
     base = find(text)
     added: dict[str, list[Span]] = {k: [] for k in KINDS}
-    plain = [s for k in KINDS for s in base[k]]
+    plain = sorted(s for k in KINDS for s in base[k])
+    begins, reach = [a for a, _ in plain], list(accumulate((z for _, z in plain), max))
     now = rewrite(text)
     if now is not None:
         for kind, spans in find(now.text).items():
@@ -228,7 +277,8 @@ def search(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span
                 source = now.source(a, z)
                 if now.text[a:z] == text[source[0] : source[1]]:
                     continue  # nothing in it was rewritten
-                if not any(p <= source[0] and source[1] <= q for p, q in plain):
+                k = bisect_right(begins, source[0])
+                if not k or reach[k - 1] < source[1]:
                     added[kind].append(source)
     return base, added
 
