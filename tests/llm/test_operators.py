@@ -128,8 +128,10 @@ def test_token_files(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_files.tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    odd = [(1000 + i, t, "", "", 0) for i, t in enumerate(["a  b", " a", "a ", "a \n b", "a\n\n  b c", "x \t y z", "don't 12 34 <|endoftext|> é  \n", "a b", "\n", "a' s 't"])]
+    end = "<|endoftext|>"
+    marked = [end, f"hello {end} x", f"{end}a b{end}", f"a b {end}", f"{end} {end}", "<|endoftext|", f" {end}\n{end}  x"]
+    odd = [(2000 + i, t, "", "", 0) for i, t in enumerate(marked)]
+    odd += [(1000 + i, t, "", "", 0) for i, t in enumerate(["a  b", " a", "a ", "a \n b", "a\n\n  b c", "x \t y z", "don't 12 34 <|endoftext|> é  \n", "a b", "\n", "a' s 't"])]
     every = [*rows, *odd]
     out = f"file://{tmp_path}/tokens"
     token_files.write_tokens(spark.createDataFrame(every, DOCS), out)
@@ -434,3 +436,68 @@ def test_pii():
         base, more = pii.search(text)
         for k in pii.KINDS:
             assert all(0 <= a < z <= len(text) for a, z in more[k])
+
+
+#: The contract's patterns as they are written there.
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_spans(text):
+    def luhn(d):
+        doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+        return sum(x - 9 * (x > 9) for x in doubled) % 10 == 0
+
+    out = []
+    for i, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = "".join(c for c in m[0] if c in "0123456789")
+            good = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}
+            if good[kind]:
+                out.append((m.start(), i, m.end(), kind))
+    return sorted(out)
+
+
+def test_base_spans_against_the_plain_patterns():
+    r = random.Random(12)
+    bits = ["a", ".", "@", "@b.c", "x-y", "_", "%", " ", "1", "25", "300", ".4", "+", "+1", "4111 1111 1111 1111", "(4)", "-", "é", "\n"]
+    for _ in range(20_000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(1, 25)))
+        found = sorted((a, i, z, k) for i, k in enumerate(pii.KINDS) for a, z in pii.find(text)[k])
+        assert found == brute_spans(text), text
+
+
+def test_pii_digest(spark, docs, rows):
+    odd = ["a.b@c.d " * 3, "10.0.0.1 +1 (415) 555-0100", "jane (at) host [dot] com", "x" * 300_000 + "@h.io [at]", "", None]
+    every = [*rows, *[(5000 + i, t, None, None, None) for i, t in enumerate([*odd, odd[0]])], (5000, odd[1], None, None, None)]
+    frame = spark.createDataFrame(every, DOCS).withColumns({c: F.lit(1) for c in ("spans", "n_email", "base_sha256")})
+    made = got(pii.op10_digest(frame), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    want = []
+    for d, t, *_ in every:
+        spans_ = brute_spans(t)
+        said = ",".join(f"{k}:{a}:{z}" for a, _, z, k in spans_)
+        want.append((d, *(sum(s[3] == k for s in spans_) for k in BASE), hashlib.sha256(said.encode()).hexdigest()))
+    assert made == sorted(want, key=repr)
+
+
+def test_pii_takes_time_in_proportion():
+    import time
+
+    n = 1_000_000
+    for text in ("x" * n + " a [at] b a@b.c", "1" * n + " (at) a@b.c", "a@" * (n // 2), "x (dot) at " * (n // 11), " " * n + "(at)", "one point " * (n // 10)):
+        begun = time.process_time()
+        pii.search(text)
+        assert time.process_time() - begun < 15
+
+
+def test_sums_of_blanks_between_user_and_sign():
+    for text, want in {
+        "jane   (at)   host [dot] com": "jane   (at)   host [dot] com",
+        "a@b (at) c (dot) org": "b (at) c (dot) org",
+        "x (dot) y (at) host dot com": "x (dot) y (at) host dot com",
+    }.items():
+        assert [text[a:z] for a, z in pii.search(text)[1]["email"]] == [want]

@@ -62,6 +62,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(df: DataFrame, size: int = 64 << 20) -> int:
+    """Partitions that grow with the table: one for each ``size`` bytes that the optimizer estimates, the session's number at least."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(partitions(df.sparkSession), -(-estimate // size)), 200_000)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Before Python code runs: the package is there, and the Arrow batches handed to it are small, as texts may be long."""
     ship(spark)

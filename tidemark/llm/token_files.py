@@ -4,14 +4,16 @@ Layout of a token file set (two Parquet tables, so any store that Spark writes w
 
 * ``dictionary``: dict_hash (SHA-256 of the dictionary's bytes), dictionary, id_bytes (2 or 4).
 * ``blocks``: shard, block, dict_hash, payload (the documents' zstandard frames back to back) and, position by position,
-  the offset index: doc_ids, offsets (where a frame starts; one more gives the end), counts (ids in it).
+  the offset index: doc_ids, offsets (where a frame starts; one more gives the end), counts (ids in it); first_id and last_id
+  bound the ids, so that a search by id skips blocks.
 
 A short document is read by one slice of one payload. Shards are id ranges in ascending order. The dictionary is trained on
-the serialized ids of at most ``SAMPLE`` documents, those with the least hashes of their ids, each up to ``SAMPLE_IDS`` ids; that bounds
-the fit alone, everything is encoded whole.
+the serialized ids of at most ``SAMPLE`` documents, those with the least hashes of their ids (copies under one id count once),
+from each a stretch of ``SAMPLE_IDS`` ids at a hashed place; that bounds the fit alone, everything is encoded whole.
 
 Defined cases: a null text is an empty one and gets the end id only; repeated rows get their own frames; null ids come first;
-an empty table gives empty files; too few samples to train on give an unstructured dictionary or none.
+an empty table gives empty files; very long texts are one frame; ids that aren't numbers are an error, other columns aren't
+read; too few samples to train on give an unstructured dictionary or none.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_python, new_path, partitions, small_batches
+from .common import in_python, new_path, partitions_for, small_batches
 
 SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES = 600, 4096, 64 * 1024
 BLOCK_BYTES, BLOCK_DOCS = 2 << 20, 4096
@@ -41,14 +43,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Units:
-    """A table of units by hash: open addressing in arrays, so a batch of units is looked up in a few vector steps.
+    """A table of units: open addressing by a 64-bit hash in arrays, so a batch of units is looked up in a few vector steps.
 
-    A unit is known by two 64-bit hashes of its bytes, both sums of random numbers for the bytes times a power of the place.
+    The hash is a sum of random numbers for the bytes times a power of the place. The bytes are kept too, and ``same`` tells
+    whether what was found is what was asked for.
     """
 
     def __init__(self, dtype: np.dtype, bits: int):
         r = np.random.default_rng(20)
-        self.values = r.integers(1, 1 << 63, (2, 256), np.uint64) << np.uint64(1) | np.uint64(1)
+        self.values = r.integers(1, 1 << 63, 256, np.uint64) << np.uint64(1) | np.uint64(1)
         self.step = 0x9E3779B97F4A7C15
         self.powers = self.inverse = np.ones(1, np.uint64)
         self.bits, self.dtype = bits, dtype
@@ -56,11 +59,13 @@ class Units:
 
     def clear(self) -> None:
         n = 1 << self.bits
-        self.first, self.second = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.key = np.zeros(n, np.uint64)
         self.start, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.begin, self.length = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.pool, self.used, self.size = np.zeros(1 << 16, self.dtype), 0, 0
+        self.raw, self.filled = np.zeros(1 << 16, np.uint8), 0
 
-    def hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    def hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if len(self.powers) < len(raw):
             n = 1 << len(raw).bit_length()
             back = pow(self.step, -1, 1 << 64)
@@ -68,47 +73,55 @@ class Units:
             for x in (self.powers, self.inverse):
                 x[0] = 1
                 np.cumprod(x, out=x)
-        out = []
-        for values in self.values:
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(values[raw] * self.powers[: len(raw)], out=sums[1:])
-            out.append((sums[ends] - sums[starts]) * self.inverse[starts])
-        out[0] |= np.uint64(1)  # nought is an empty place
-        return out
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.values[raw] * self.powers[: len(raw)], out=sums[1:])
+        return (sums[ends] - sums[starts]) * self.inverse[starts] | np.uint64(1)  # nought is an empty place
 
-    def _slot(self, first: np.ndarray) -> np.ndarray:
-        return ((first ^ (first >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def find(self, key: np.ndarray) -> np.ndarray:
         """Places of the units, -1 for those that aren't there."""
-        at, mask = self._slot(first), (1 << self.bits) - 1
-        there = (self.first[at] == first) & (self.second[at] == second)
-        left = np.nonzero(~there)[0]
+        at, mask = self._slot(key), (1 << self.bits) - 1
+        left = np.nonzero(self.key[at] != key)[0]
         while len(left):
-            empty = self.first[at[left]] == 0
+            empty = self.key[at[left]] == 0
             at[left[empty]] = -1
             left = left[~empty]
             at[left] = (at[left] + 1) & mask
-            left = left[(self.first[at[left]] != first[left]) | (self.second[at[left]] != second[left])]
+            left = left[self.key[at[left]] != key[left]]
         return at
 
-    def add(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        """New units, each once."""
+    def add(self, key: np.ndarray, units: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        """New units, each key once."""
+        text, sizes = np.frombuffer(b"".join(units), np.uint8), np.array([len(u) for u in units])
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        while self.filled + len(text) > len(self.raw):
+            self.raw = np.concatenate((self.raw, np.zeros_like(self.raw)))
         self.pool[self.used : self.used + len(ids)] = ids
-        start = self.used + np.cumsum(counts) - counts
-        at, mask = self._slot(first), (1 << self.bits) - 1
-        left = np.arange(len(first))
+        self.raw[self.filled : self.filled + len(text)] = text
+        start, begin = self.used + np.cumsum(counts) - counts, self.filled + np.cumsum(sizes) - sizes
+        at, mask = self._slot(key), (1 << self.bits) - 1
+        left = np.arange(len(key))
         while len(left):
-            free = left[self.first[at[left]] == 0]
+            free = left[self.key[at[left]] == 0]
             put = free[np.unique(at[free], return_index=True)[1]]
-            self.first[at[put]], self.second[at[put]] = first[put], second[put]
+            self.key[at[put]] = key[put]
             self.start[at[put]], self.count[at[put]] = start[put], counts[put]
-            left = left[self.first[at[left]] != first[left]]
+            self.begin[at[put]], self.length[at[put]] = begin[put], sizes[put]
+            left = left[self.key[at[left]] != key[left]]
             at[left] = (at[left] + 1) & mask
         self.used += len(ids)
-        self.size += len(first)
+        self.filled += len(text)
+        self.size += len(key)
+
+    def same(self, at: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bool:
+        """Are the units at these places, byte for byte, the ones that make up ``raw``?"""
+        sizes = ends - starts
+        if (self.length[at] != sizes).any():
+            return False
+        return bool((self.raw[np.repeat(self.begin[at] - starts.astype(np.int32), sizes) + np.arange(len(raw), dtype=np.int32)] == raw).all())
 
     def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the units at these places, one after the other, and where each unit ends."""
@@ -122,7 +135,9 @@ class Encoder:
 
     The byte-level pattern starts a piece at every space that stands between two characters other than white space, and
     makes such a line break a piece of its own. So the units in between can be encoded apart and remembered, up to
-    ``CACHE_UNITS``. New units are encoded many in one text and cut by the bytes of their ids.
+    ``CACHE_UNITS``. New units are encoded many in one text and cut by the bytes of their ids. What comes out of the table is
+    compared with the text byte for byte; if it isn't the same, the texts are encoded whole. So are texts in which an added
+    token of the tokenizer, such as its end mark, is spelled out: the library finds those before it cuts pieces.
     """
 
     SINGLE = re.compile(r"(?<=\S)([ \n])(?=\S)")
@@ -135,7 +150,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -165,8 +180,8 @@ class Encoder:
         each = self._encode([u.decode() for u in units])
         return np.concatenate(each), np.array([len(x) for x in each])
 
-    def _learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
-        _, once = np.unique(first, return_index=True)
+    def _learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, key: np.ndarray) -> None:
+        _, once = np.unique(key, return_index=True)
         units = [raw[a:z] for a, z in zip(starts[once].tolist(), ends[once].tolist(), strict=True)]
         ids, counts = [], []
         single = {b"\x02": self.end, b"\n": None}
@@ -182,7 +197,7 @@ class Encoder:
                 ids.append(self.end if u == b"\x02" else self._encode(["\n"])[0])
                 counts.append(np.array([len(ids[-1])]))
         at = once[order]
-        self.units.add(first[at], second[at], np.concatenate(ids), np.concatenate(counts))
+        self.units.add(key[at], [units[i] for i in order], np.concatenate(ids), np.concatenate(counts))
 
     def _group(self, texts: list[str]) -> list[bytes]:
         raw = "\x02".join([*texts, ""]).encode()
@@ -193,19 +208,24 @@ class Encoder:
         begins[0] = True
         starts = np.nonzero(begins)[0]
         ends = np.append(starts[1:], len(data))
-        first, second = self.units.hashes(data, starts, ends)
-        at = self.units.find(first, second)
+        key = self.units.hashes(data, starts, ends)
+        at = self.units.find(key)
         if (at < 0).any():
             if self.units.size > CACHE_UNITS:
                 self.units.clear()
                 at[:] = -1
             new = np.nonzero(at < 0)[0]
-            self._learn(raw, starts[new], ends[new], first[new], second[new])
-            at[new] = self.units.find(first[new], second[new])
+            self._learn(raw, starts[new], ends[new], key[new])
+            at[new] = self.units.find(key[new])
+        if not self.units.same(at, data, starts, ends):
+            return [self._whole(x) for x in texts]
         ids, until = self.units.ids(at)
         cuts = until[data[starts] == 2].tolist()
         return [ids[a:z].tobytes() for a, z in zip([0, *cuts], cuts, strict=False)]
 
+    def _whole(self, text: str) -> bytes:
+        return np.concatenate((self._encode([text])[0], self.end)).tobytes()
+
     def _apart(self, text: str) -> bytes:
         first, *rest = self.SINGLE.split(text)
         out = [first]
@@ -218,7 +238,9 @@ class Encoder:
         out: list[bytes] = [self.end.tobytes()] * len(texts)
         easy, size = [], 0
         for i, text in enumerate(texts):
-            if text and self._plain(text):
+            if text and any(x in text for x in self.added):
+                out[i] = self._whole(text)
+            elif text and self._plain(text):
                 easy.append(i)
                 size += len(text)
             elif text:
@@ -261,21 +283,23 @@ def _dictionary(raw: bytes):
 
 def fit_dictionary(docs: DataFrame, path: str) -> tuple[bytes, int]:
     """The dictionary and the bytes of an id, from a sample that does not grow with the table."""
-    h = F.xxhash64("doc_id")
-    least = docs.select(h.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    sample = docs.filter(h <= least).limit(SAMPLE) if least is not None else docs.limit(0)
+    h = F.xxhash64("doc_id").alias("h")
+    least = docs.select(h).distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    sample = docs.select(h, "text").filter(F.col("h") <= least).groupBy("h").agg(F.min("text").alias("text")) if least is not None else docs.limit(0)
 
     def encode(batches):
         encoder = encoder_for(path)
+        cut = SAMPLE_IDS * encoder.dtype.itemsize
         for b in batches:
-            cut = SAMPLE_IDS * encoder.dtype.itemsize
-            yield pa.RecordBatch.from_arrays([pa.array([x[:cut] for x in encoder.serialize(_texts(b.column(0)))], pa.binary())], ["ids"])
+            serial = encoder.serialize(_texts(b.column(0)))
+            at = [zlib.crc32(x) % -(-len(x) // cut) * cut for x in serial]
+            yield pa.RecordBatch.from_arrays([pa.array([x[a : a + cut] for a, x in zip(at, serial, strict=True)], pa.binary())], ["ids"])
 
     rows = in_python(sample.select("text"), encode, "ids binary").collect()  # SAMPLE rows of SAMPLE_IDS ids at most
     return train([bytes(r.ids) for r in rows]), encoder_for(path).dtype.itemsize
 
 
-BLOCKS = "shard int, block int, dict_hash string, payload binary, doc_ids array<bigint>, offsets array<bigint>, counts array<bigint>"
+BLOCKS = "shard int, block int, dict_hash string, payload binary, doc_ids array<bigint>, offsets array<bigint>, counts array<bigint>, first_id bigint, last_id bigint"
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None) -> None:
@@ -287,7 +311,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None) -> Non
     dict_hash = hashlib.sha256(raw).hexdigest()
     spark.createDataFrame([(dict_hash, raw, id_bytes)], "dict_hash string, dictionary binary, id_bytes int").write.parquet(f"{out}/dictionary")
     shared = spark.sparkContext.broadcast(raw)  # at most DICTIONARY_BYTES
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("dict_hash", pa.string()), ("payload", pa.binary()), *((x, pa.list_(pa.int64())) for x in ("doc_ids", "offsets", "counts"))])
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("dict_hash", pa.string()), ("payload", pa.binary()), *((x, pa.list_(pa.int64())) for x in ("doc_ids", "offsets", "counts")), ("first_id", pa.int64()), ("last_id", pa.int64())])
 
     def pack(batches):
         import zstandard
@@ -300,7 +324,9 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None) -> Non
         payload, ids, offsets, counts = [], [], [0], []
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, block, dict_hash, b"".join(payload), ids, offsets, counts), schema, strict=True)], schema=schema)
+            known = [x for x in ids if x is not None] or [None]
+            row = (shard, block, dict_hash, b"".join(payload), ids, offsets, counts, known[0], known[-1])
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for b in batches:
             texts = _texts(b.column(1))
@@ -318,7 +344,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None) -> Non
             yield flush()
 
     order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
-    dealt = order.repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    dealt = order.repartitionByRange(partitions_for(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     in_python(dealt, pack, BLOCKS).write.parquet(f"{out}/blocks")
 
 
@@ -371,7 +397,8 @@ def read_document(spark: SparkSession, out: str, doc_id: int) -> list[list[int]]
     meta = spark.read.parquet(f"{out}/dictionary").first()
     opened = zstandard.ZstdDecompressor(dict_data=_dictionary(bytes(meta.dictionary)))
     at = F.explode(F.arrays_zip("doc_ids", "offsets", F.expr("slice(offsets, 2, size(offsets))").alias("ends")))
-    rows = spark.read.parquet(f"{out}/blocks").filter(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).select("payload", at.alias("x")).filter(F.col("x.doc_ids") == doc_id)
+    held = spark.read.parquet(f"{out}/blocks").filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    rows = held.select("payload", at.alias("x")).filter(F.col("x.doc_ids") == doc_id)
     frames = rows.select(F.expr("substring(payload, cast(x.offsets + 1 as int), cast(x.ends - x.offsets as int))").alias("frame"), "x.offsets").collect()
     return [np.frombuffer(opened.decompress(bytes(r.frame)), f"<u{meta.id_bytes}").tolist() for r in frames]
 
