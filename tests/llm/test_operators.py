@@ -266,62 +266,134 @@ def test_quality(spark):
     assert out[6].kept and not out[len(made) - 2].kept
 
 
-def brute_runs(a, b, least):
-    """Spans of a that stand in b too, in runs of at least so many words."""
-    out = set()
-    for d in range(-len(b), len(a)):
-        run = 0
-        for i in range(max(0, d), min(len(a), len(b) + d) + 1):
-            if i < min(len(a), len(b) + d) and a[i] == b[i - d]:
-                run += 1
-            else:
-                if run >= least:
-                    out |= set(range(i - run, i))
-                run = 0
-    return out
+def brute_runs(words, least):
+    """Of each document the words inside runs of at least so many that another document has too."""
+    holders = {}
+    for i, a in enumerate(words):
+        for x in range(len(a) - least + 1):
+            holders.setdefault(tuple(a[x : x + least]), set()).add(i)
+    return {
+        i: {x + k for x in range(len(a) - least + 1) if holders[tuple(a[x : x + least])] != {i} for k in range(least)} for i, a in enumerate(words)
+    }
 
 
-def test_suffixes(spark):
-    made = [t for t in texts() if t and len(t) < 20_000 and not t.startswith("spam")]
-    words = [t.encode().lower().split() for t in made]
+def covered(df):
     out = {}
-    for r in suffixes.op9_digest(spark.createDataFrame([(i, t) for i, t in enumerate(made)] * 2, "doc_id bigint, text string")).collect():
+    for r in df.collect():
         out.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
-        assert r.mate_id != r.doc_id and r.first == (r.mate_id > r.doc_id)
-    want = {}
-    for i, a in enumerate(words):
-        found = set().union(*(brute_runs(a, b, suffixes.LEAST) for j, b in enumerate(words) if j != i))
-        if found:
-            want[i] = found
-    assert out == want
+        assert (r.mate_id is None or r.mate_id != r.doc_id) and r.n_words == r.end_word - r.start_word
+    return out
+
+
+def clashing(frame):
+    return frame.withColumns({c: F.lit(1) for c in ("code", "ref", "doc", "wide", "part", "start", "mate", "at", "low", "key", "c")})
+
+
+def test_suffixes(spark):
+    made = texts()
+    words = [(t or "").encode().lower().split() for t in made]
+    frame = clashing(spark.createDataFrame([(i, t) for i, t in enumerate(made)] * 2, "doc_id bigint, text string"))
+    out = suffixes.op9_digest(frame)
+    assert covered(out) == {i: w for i, w in brute_runs(words, suffixes.LEAST).items() if w}
+    for r in out.collect():
+        assert r.first == (r.mate_id > r.doc_id)
+
+
+def excerpts(seed, n=60):
+    """Documents that hold excerpts of one passage, 55 to 99 words long."""
+    r = random.Random(seed)
+    passage, out = prose(400, r).split(), []
+    for _ in range(n):
+        size = r.randint(55, 99)
+        at = r.randrange(400 - size)
+        out.append(" ".join([prose(r.randint(20, 60), r), *passage[at : at + size], prose(r.randint(20, 60), r)]))
+    return out
+
+
+def shared_words(seed, n=40):
+    """Documents over four words only, so that runs of all lengths are shared, with stretches of one another."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        words = [r.choice("abcd") + str(r.randrange(3)) for _ in range(r.randint(0, 150))]
+        for _ in range(r.randrange(3)):
+            mate = r.choice(out or [["a"] * 60])
+            at, size = r.randrange(len(mate) or 1), r.randint(45, 70)
+            words[r.randrange(len(words) + 1) : 0] = mate[at : at + size]
+        out.append(words)
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize(("seed", "make"), [(1, excerpts), (2, shared_words), (3, shared_words)])
+def test_no_shared_run_is_missed(spark, seed, make):
+    made = make(seed)
+    words = [t.split() for t in made]
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    want = {i: w for i, w in brute_runs(words, suffixes.LEAST).items() if w}
+    assert len(want) > 10 and covered(suffixes.op9_digest(frame)) == want
+    found = covered(passages.op4_digest(frame))
+    assert set(want) <= set(found)
+    assert sum(len(w & found[i]) for i, w in want.items()) >= 0.99 * sum(map(len, want.values()))
+
+
+def test_null_ids_and_repeated_words(spark):
+    r = random.Random(13)
+    one = prose(80, r)
+    rows = [(None, one), (None, one + " more"), (1, "spam " * 300), (2, "spam " * 200), (3, ""), (4, None), (4, one), (4, prose(80, r)), (5, "a b c d")]
+    words = [(t or "").split() for _, t in rows]
+    want = brute_runs(words, suffixes.LEAST)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for op in (suffixes.op9_digest, passages.op4_digest):
+        got_ = covered(op(frame))
+        assert set(got_) == {None, 1, 2, 4} and len(got_[1]) == 300 and len(got_[2]) == 200
+        assert got_[4] >= want[6] and len(want[6]) == 80
+
+
+def test_ranges():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    codes = r.integers(0, 3, 500).astype(np.uint32)
+    ranges = spans.Ranges(codes)
+    start = r.integers(0, 480, 4000)
+    stop = start + r.integers(1, 20, 4000)
+    named = {}
+    for h, a, z in zip(ranges.of(start, stop).tolist(), start.tolist(), stop.tolist(), strict=True):
+        assert named.setdefault(h, codes[a:z].tolist()) == codes[a:z].tolist()
+    assert len(named) == len({tuple(codes[a:z].tolist()) for a, z in zip(start, stop, strict=True)})
+
+
+def test_seeds_go_to_the_range_of_their_code():
+    import numpy as np
 
+    r = np.random.default_rng(2)
+    points = (np.array([1, 3, 3, 3, 7]), np.array([5, -4, 0, 9, 2]))
+    code, ref = r.integers(0, 9, 500), r.integers(-12, 12, 500)
+    want = [sum((c, f) <= (a, b) for c, f in zip(*points, strict=True)) for a, b in zip(code, ref, strict=True)]
+    assert spans.part_of(code, ref, points).tolist() == want
 
-def test_neighbours_over_partitions(spark):
-    spark.conf.set("spark.sql.shuffle.partitions", "7")
+
+def seed_rows(spark, rows):
+    return spark.createDataFrame([(c << 2 | n, d, p) for c, n, d, p in rows], "code bigint, ref bigint, pos int")
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_every_shared_seed_is_linked(spark, parts):
     r = random.Random(5)
-    rows = [(r.choice([1, 1, 1, 2, 3, 4]), r.randrange(3), r.randrange(40), 0, r.randrange(5)) for _ in range(600)]
-    rows = sorted(set(rows))
-    made = spans.neighbours(spark.createDataFrame(rows, "code bigint, next int, doc bigint, th int, pos int"))
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
-    want = []
-    for i, (c, _, d, t, p) in enumerate(rows):
-        while i >= 0 and rows[i][0] == c and rows[i][2] == d:
-            i -= 1
-        want += [(d, t, p, *rows[i][2:4])] if i >= 0 and rows[i][0] == c else []
-    assert got(made, "a_doc", "a_th", "a_pos", "b_doc", "b_th") == sorted(want, key=repr)
-
-
-@pytest.mark.parametrize("parts", ["1", "7"])
-def test_surplus_of_the_first_document_is_linked(spark, parts):
-    spark.conf.set("spark.sql.shuffle.partitions", parts)
-    r = random.Random(6)
-    rows = sorted({(c, 0, d, 0, p) for c in range(40) for d in range(r.randint(1, 3)) for p in r.sample(range(50), r.choice([1, 2, 9]))})
-    made = spans.neighbours(spark.createDataFrame(rows, "code bigint, next int, doc bigint, th int, pos int"), surplus=True).collect()
+    rows = sorted({(r.choice([1, 1, 1, 2, 3, 4]), r.randrange(3), r.randrange(40), r.randrange(5)) for _ in range(600)})
+    rows += sorted({(c, 0, d, p) for c in range(5, 45) for d in range(r.randint(1, 3)) for p in r.sample(range(50), r.choice([1, 2, 9]))})
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    made = spans.neighbours(seed_rows(spark, rows).repartitionByRange(parts, *spans.ORDER), 2).collect()
     spark.conf.set("spark.sql.shuffle.partitions", "8")
-    linked = {(x[0], x[2]) for x in made} | {(x[3], x[5]) for x in made}
-    shared = {c for c in range(40) if len({x[2] for x in rows if x[0] == c}) > 1}
-    assert all(x.a_doc != x.b_doc for x in made)
-    assert {(x[2], x[4]) for x in rows if x[0] in shared} <= linked
+    groups = {}
+    for c, _, d, p in rows:
+        groups.setdefault((d, p), set()).add(c)
+    for x in made:
+        assert x.a_ref > x.b_ref and groups[x.a_ref, x.a_pos] & groups[x.b_ref, x.b_pos]
+    linked = {(x[0], x[1]) for x in made} | {(x[2], x[3]) for x in made}
+    shared = {c for c in range(45) if len({x[2] for x in rows if x[0] == c}) > 1}
+    assert {(x[2], x[3]) for x in rows if x[0] in shared} <= linked
+    assert len(made) <= 2 * len(rows)
 
 
 def test_a_passage_twice_in_the_first_document(spark):
@@ -330,41 +402,55 @@ def test_a_passage_twice_in_the_first_document(spark):
     twice = " ".join([prose(20, r), passage, prose(300, r), passage, prose(20, r)])
     docs = spark.createDataFrame([(1, twice), (2, prose(15, r) + " " + passage + " " + prose(15, r))], "doc_id bigint, text string")
     for op in (suffixes.op9_digest, passages.op4_digest):
-        covered = {w for x in op(docs).filter("doc_id = 1").collect() for w in range(x.start_word, x.end_word)}
-        assert {*range(20, 90), *range(390, 460)} <= covered
+        assert {*range(20, 90), *range(390, 460)} <= covered(op(docs))[1]
 
 
 def test_chains():
+    """Against all chains, tried one by one: the best one comes first and has their best score."""
     r = random.Random(2)
-    for _ in range(60):
-        m = sorted({(r.randrange(200), r.randrange(200)) for _ in range(r.randint(1, 30))})
+    gap, gram = passages.GAP, passages.GRAM
+    for _ in range(150):
+        m = sorted({(r.randrange(80), r.randrange(80)) for _ in range(r.randint(1, 30))})
         a, b = [x for x, _ in m], [y for _, y in m]
+        more = [r.choice([0, 0, 3, 12]) for _ in m]
         score = []
-        for i in range(len(m)):
-            best = max((score[j] - passages.GAP * (a[i] - a[j] + b[i] - b[j] - 2 * passages.GRAM) for j in range(i) if a[j] < a[i] and b[j] < b[i]), default=0)
-            j_gain = [
-                (score[j] - passages.GAP * (a[i] - a[j] + b[i] - b[j] - 2 * passages.GRAM), min(passages.GRAM, a[i] - a[j], b[i] - b[j])) for j in range(i) if a[j] < a[i] and b[j] < b[i]
-            ]
-            top = max((g for g in j_gain if abs(g[0] - best) < 1e-9), key=lambda g: g[1], default=(0, 0))
-            score.append(top[0] + top[1] if best > 0 else passages.GRAM)
-        found = passages.chains(a, b)
+        for j in range(len(m)):
+            best = (0.0, 0.0)
+            for i in range(j):
+                x, y = a[j] - a[i] - more[i], b[j] - b[i] - more[i]
+                if x > 0 and y > 0 and (gain := score[i] - gap * (x + y - 2 * gram)) > 0:
+                    best = max(best, (gain, gain + min(gram, x, y)))
+            score.append(best[1] + more[j] + (gram if best[0] <= 0 else 0))
+        found = passages.chains(a, b, more)
         assert sorted(x for c in found for x in c) == list(range(len(m)))
+        assert score[found[0][-1]] == pytest.approx(max(score), abs=gram)
         for c in found:
-            assert all(a[x] < a[y] and b[x] < b[y] for x, y in zip(c, c[1:], strict=False))
+            assert all(a[x] + more[x] < a[y] and b[x] + more[x] < b[y] for x, y in zip(c, c[1:], strict=False))
+
+
+def test_stretches():
+    import numpy as np
+
+    r = random.Random(3)
+    for _ in range(100):
+        m = sorted({(r.randrange(60), r.randrange(60)) for _ in range(40)} | {(i, i + 7) for i in r.sample(range(50), 20)})
+        a, b, more = passages.stretches(*(np.array(x) for x in zip(*m, strict=True)))
+        want = {(x + k, y + k) for x, y in m for k in range(passages.GRAM)}
+        assert {(x + k, y + k) for x, y, n in zip(a.tolist(), b.tolist(), more.tolist(), strict=True) for k in range(n + passages.GRAM)} == want
+        assert list(zip(a, b, strict=True)) == sorted(zip(a, b, strict=True))
 
 
 def test_passages(spark):
-    made = [t for t in texts() if t and len(t) < 20_000 and not t.startswith("spam")]
-    words = [t.encode().lower().split() for t in made]
-    rows = passages.op4_digest(spark.createDataFrame([(i, t) for i, t in enumerate(made)] * 2, "doc_id bigint, text string")).collect()
-    out = {}
-    for r in rows:
-        out.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
-        assert r.score >= passages.ALIKE and r.mate_id != r.doc_id
-    exact = {i: set().union(*(brute_runs(a, b, 50) for j, b in enumerate(words) if j != i)) for i, a in enumerate(words)}
-    for i, want in exact.items():
+    made = texts()
+    words = [(t or "").encode().lower().split() for t in made]
+    frame = clashing(spark.createDataFrame([(i, t) for i, t in enumerate(made)] * 2, "doc_id bigint, text string"))
+    rows = passages.op4_digest(frame)
+    out = covered(rows)
+    assert all(r.score >= passages.ALIKE for r in rows.collect())
+    for i, want in brute_runs(words, 50).items():
         assert want <= out.get(i, set()), i
-    clean = {i for i, a in enumerate(words) if not any(brute_runs(a, b, 12) for j, b in enumerate(words) if j != i)}
+    near = brute_runs(words, 12)
+    clean = {i for i, w in near.items() if not w}
     assert clean and not clean & set(out)
     fuzzy = next(i for i, a in enumerate(words) if b"changed" in a and b"also" in a)
     assert len(out[fuzzy]) >= 45

@@ -12,6 +12,7 @@ from tidemark.session import ship
 
 #: Rows up to which a side may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,13 +36,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write once to the shared folder and read back: lineage ends here, so a lost executor costs no recomputation.
 
-    ``batch``: rows of an Arrow batch while it is written.
+    ``batch``: rows of an Arrow batch while it is written. The shuffles of the write are removed with it.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     if batch:
         small_batches(spark, batch)
-    df.write.parquet(path)
+    old = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, old)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,9 +69,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def partitions_for(df: DataFrame, size: int = 64 << 20) -> int:
-    """Partitions that grow with the table: one for each ``size`` bytes that the optimizer estimates, the session's number at least."""
+    """Partitions that grow with the table: one for each ``size`` bytes of its files, the session's number at least.
+
+    A table without files, or of a plan whose size the optimizer can't tell, gets the session's number.
+    """
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(partitions(df.sparkSession), -(-estimate // size)), 200_000)
+    return max(partitions(df.sparkSession), -(-estimate // size) if estimate < 1 << 50 else 0)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
