@@ -1,15 +1,18 @@
 r"""Chat formatting of reply trees.
 
 Messages form trees: a node has a parent or is a root. Paths from root to leaf are enumerated by iterative self-joins, first
-along runs without branches by pointer doubling (a run of n messages takes log2(n) joins), then from branching to branching.
-Leaves are ranked in their tree by the mean score of their path and the best ``keep`` are formatted, one conversation each.
+along runs without branches (a run of n messages takes log2(n) joins by pointer doubling), then from branching to branching in
+the same way: only sums of scores go down. Leaves are ranked in their tree by the mean score of their path; the paths of the best
+``keep`` alone are read back, again in log2 steps, and formatted, one conversation each.
 
 A turn is ``<|turn|>role\\n`` text ``<|end|>``. Control strings inside texts are escaped reversibly: a backslash is doubled,
 ``<|`` gets a backslash in its middle, and a line break in a role becomes ``<\;``. The loss mask is a list of spans of code
 points over the output that cover the assistant's escaped texts.
 
 Defined cases: a null text or role is empty, a null score 0; a node whose parent isn't there is a root; nodes on a cycle
-can't be reached from a root and are left out; repeated rows are nodes of their own; a null tree id is one tree.
+can't be reached from a root and are left out; repeated rows are nodes of their own; a null tree id is one tree; leaves tied in
+mean score go by more turns, then by node; very long texts are formatted whole; an empty table gives no conversation; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -57,6 +60,20 @@ def _runs(links: DataFrame) -> DataFrame:
     return ended.drop("ended")
 
 
+def _sums(runs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """run, score, turns summed from the root down, for runs that hang on a root; and tables run, up of 1, 2, 4, ... runs up."""
+    at = stage(runs.select("run", F.col("parent_run").alias("up"), "score", "turns"), "sums")
+    done, jumps, left = at.filter("up is null"), [], None
+    while (open_ := at.filter("up is not null").count()) and open_ != left:  # each round ends some, unless only cycles are left
+        jumps.append(at.filter("up is not null").select("run", "up"))
+        b = at.select(F.col("run").alias("n"), F.col("up").alias("u"), F.col("score").alias("s"), F.col("turns").alias("t"))
+        moved = at.filter("up is not null").join(b, F.col("up") == F.col("n"))
+        moved = moved.select("run", F.col("u").alias("up"), (F.col("score") + F.col("s")).alias("score"), (F.col("turns") + F.col("t")).alias("turns"))
+        at, left = stage(moved.unionAll(done), "sums"), open_
+        done = at.filter("up is null")
+    return done.drop("up"), jumps
+
+
 def paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     """nodes: tree, node, parent, score -> tree, branch (rank from 1), turn (from 0), node, for the best ``keep`` leaves of each tree."""
     links = nodes.select("tree", "node", F.col("parent").alias("wanted"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
@@ -75,21 +92,14 @@ def paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     below = runs.filter("parent is not null").join(parent_run, F.col("parent") == F.col("n")).drop("n")
     runs = stage(below.unionByName(runs.filter("parent is null"), allowMissingColumns=True), "runs-of")
     leaf = runs.join(runs.select(F.col("parent_run").alias("r")).filter("r is not null").distinct(), F.col("run") == F.col("r"), "left_anti").select("run")
-    front = runs.filter("parent is null").select("run", "tree", "score", "turns", F.array("run").alias("path"))
-    found = front
-    while True:
-        below = runs.filter("parent is not null").select(F.col("run").alias("next"), F.col("score").alias("s"), F.col("turns").alias("t"), F.col("parent_run").alias("of"))
-        front = front.join(below, F.col("run") == F.col("of")).select(
-            F.col("next").alias("run"), "tree", (F.col("score") + F.col("s")).alias("score"), (F.col("turns") + F.col("t")).alias("turns"), F.concat("path", F.array("next")).alias("path")
-        )
-        front = stage(front, "front")
-        if front.isEmpty():
-            break
-        found = found.unionByName(front)
-    leaves = found.join(leaf, "run", "left_semi")
+    sums, jumps = _sums(runs)
+    leaves = runs.select("run", "tree").join(sums, "run").join(leaf, "run", "left_semi")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("turns")), F.desc("turns"), "run")
-    chosen = leaves.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= keep)
-    steps = chosen.select("tree", "branch", F.posexplode("path").alias("step", "run"))
+    chosen = leaves.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= keep)  # cut to the best before the exchange
+    steps = chosen.select("tree", "branch", "run", F.lit(0).cast("long").alias("step"))
+    for k, jump in enumerate(jumps):
+        above = steps.join(jump, "run").select("tree", "branch", F.col("up").alias("run"), (F.col("step") - (1 << k)).alias("step"))
+        steps = stage(steps.unionAll(above), "steps")
     members = placed.select("run", "offset", "node")
     order = Window.partitionBy("tree", "branch").orderBy("step", "offset")
     return steps.join(members, "run").select("tree", "branch", (F.row_number().over(order) - 1).alias("turn"), "node")

@@ -6,8 +6,9 @@ each hit is extended over all windows that hold its k-gram, and the windows are
 
 A benchmark window has 13 words; an item of fewer words is one window of its own length and gets a lane with its own k and w.
 
-Defined cases: a null or wordless text has no words and no hits; repeated rows each get their own result row; null ids are
-kept; a null item_id marks hits but isn't listed; an empty benchmark marks nothing; other columns of either table are not read.
+Defined cases: a null, empty or wordless text has no words and no hits; very long texts are read whole; repeated rows and rows
+tied in id each get their own result row; null ids are kept; a null item_id marks hits but isn't listed; an empty benchmark marks
+nothing, an empty table gives no rows; other columns of either table are not read, whatever their names.
 """
 
 from __future__ import annotations

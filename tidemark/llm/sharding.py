@@ -4,8 +4,12 @@ Rows are put in id order over range partitions; the totals of the partitions giv
 partition do the rest, and the byte line is cut at equal targets. A document goes where its middle lies, so shards are
 contiguous and each is within one document of the target.
 
-Defined cases: a null text has size 1; null ids come first; rows with the same id are ordered by size and checksum; with fewer
-bytes than shards some shards stay empty; other columns are not read.
+Rows that are equal in id, size and checksum may be any number (a third of all): those are counted by partition and numbered
+in it like others, and a range is cut into as many partitions as the table's size asks for.
+
+Defined cases: a null or empty text has size 1; null ids come first; rows with the same id are ordered by size and checksum, ties
+after that are alike; a very long text is one row and may take a whole shard; with fewer bytes than shards some shards stay empty;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
