@@ -105,12 +105,14 @@ def test_mixing(spark, docs, rows):
     many = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
     each = mixing.mix(many, spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")).groupBy("row.source").count()
     assert {r[0]: r[1] for r in each.collect()} == pytest.approx({"a": 20_000, "b": 20_000}, rel=0.03)
-    big = mixing.distributions(spark.createDataFrame([("x", 2000.0)], "source string, rate double")).first().steps
-    assert big[-1] == pytest.approx(1) and sum(c <= 0.5 for c in big) == pytest.approx(2000, abs=2)
+    for rate in (50.0, 2000.0, 3e6):
+        big = mixing.distributions(spark.createDataFrame([("x", rate)], "source string, rate double")).first()
+        assert big.steps[-1] == pytest.approx(1) and big.least + sum(c <= 0.5 for c in big.steps) == pytest.approx(rate, abs=2)
+        assert len(big.steps) <= 24 * rate**0.5 + 85
     one = mixing.mix(docs, weights)
-    old, mixing.BROADCAST_SOURCES = mixing.BROADCAST_SOURCES, 0
+    old, mixing.BROADCAST_BYTES, mixing.CHUNK = (mixing.BROADCAST_BYTES, mixing.CHUNK), 0, 2
     assert got(one, "doc_id", "copy") == got(mixing.mix(docs, weights), "doc_id", "copy")
-    mixing.BROADCAST_SOURCES = old
+    mixing.BROADCAST_BYTES, mixing.CHUNK = old
 
 
 def test_sharding(docs, rows):
@@ -172,6 +174,47 @@ def test_reply_trees(spark):
     assert one.formatted.count("<|turn|>") == 4 and [one.formatted[s.start : s.end] for s in one.loss_spans] == ["says a"]
 
 
+def brute_path(nodes, tree):
+    """The nodes of the best leaf of a tree, by mean score, turns and the head of its last run."""
+    mine = {n: (p, s or 0.0) for t, n, p, s in nodes if t == tree}
+    parents = [p for _, _, p, _ in nodes]
+    found = []
+    for n in mine:
+        if n not in parents:
+            path, at = [], n
+            while at in mine and at not in path:
+                path.append(at)
+                at = mine[at][0]
+            if at not in mine:
+                found.append((sum(mine[x][1] for x in path) / len(path), len(path), path[::-1]))
+    return sorted(found, key=lambda x: (-x[0], -x[1]))
+
+
+def test_combs_and_random_trees(spark):
+    r = random.Random(4)
+    nodes = [("comb", "c0", None, 0.5)]
+    for i in range(1, 70):
+        nodes += [("comb", f"c{i}", f"c{i - 1}", r.random()), ("comb", f"l{i}", f"c{i - 1}", r.random() / 9)]
+    for t in range(4):
+        nodes += [(f"t{t}", f"{t}.0", None, 1.0)] + [(f"t{t}", f"{t}.{i}", f"{t}.{r.randrange(max(0, i - 4), i)}", r.random()) for i in range(1, 60)]
+    nodes += [("loop", "x", "z", 1.0), ("loop", "y", "x", 1.0), ("loop", "z", "y", 1.0), ("loop", "w", "x", 1.0), ("loop", "v", "w", 1.0)]
+    frame = spark.createDataFrame(nodes, "tree string, node string, parent string, score double")
+    made = {}
+    for x in sorted(chat.paths(frame, keep=2).collect(), key=lambda x: (x.tree, x.branch, x.turn)):
+        made.setdefault((x.tree, x.branch), []).append(x.node)
+    want = {(t, k + 1): x[2] for t in {n[0] for n in nodes} for k, x in enumerate(brute_path(nodes, t)[:2])}
+    assert made == want and len(want) == 10
+
+
+def test_chat_of_nothing_and_of_long_texts(spark):
+    kind = "conv_id bigint, turn bigint, role string, text string, tree int, node int, run int"
+    none = chat.op6_digest(spark.createDataFrame([], kind)).collect()
+    assert [r.conv_id for r in none] == [-1]
+    said = "<|end|>" * 50_000
+    made = {r.conv_id: r for r in chat.op6_digest(spark.createDataFrame([(1, 0, "assistant", said, 1, 1, 1)], kind)).collect()}
+    assert made[1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and made[1].formatted_chars == len(said) + 50_000 + len("<|turn|>assistant\n<|end|>")
+
+
 def brute_components(fps):
     root = list(range(len(fps)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         large = stage(large, "large")
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(low, F.col("a") == F.col("n"))
-        edges = stage(small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct(), "edges")
+        last_edges, edges = edges, stage(small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct(), "edges")
+        unstage(last_edges, large)
         last, mark = mark, _mark(edges)
         if mark == last:
             break

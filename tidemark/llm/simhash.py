@@ -6,12 +6,15 @@ every 23-bit word has one codeword within three bits. A segment is decoded toget
 one or several codeword indices; two words within two bits have a common neighbour, so a common index. A key is the number
 of the equal segment, its bits and an index of the next segment. Fingerprints with a common key are joined and verified.
 
-Each fingerprint takes part once, however many documents have it. A key with more than ``DENSE`` fingerprints isn't joined:
-its fingerprints go another exact way, by their one-bit neighbours. Two of them are within two bits when they share such a
-neighbour, at most 65 fingerprints share one, and all that do are linked.
-
-Defined cases: a null text, or one without words, has fingerprint zero and links like any other; repeated rows get their own
-result rows; null ids never name a component unless it has no other; other columns are not read.
+Each fingerprint takes part once, however many documents have it. Two of a key are within two bits exactly when they have a
+one-bit neighbour in common (or one is the other's). The pairs of a key with at most ``DENSE`` fingerprints are compared; a
+larger key is split by those neighbours, of which each is shared by 65 fingerprints at most, and all of one key that share one
+are linked. Both find the same links from the same keys; the bound only says which of them costs less.
+
+Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other; very long texts are
+read whole; repeated rows get their own result rows; null ids never name a component unless it has no other; of rows tied in id
+and text ``one_of_each`` keeps one; an empty table gives no rows; ids must be integers; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_python, small_batches, stage
+from .common import in_python, small_batches, stage, unstage
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -123,22 +126,26 @@ def links(distinct: DataFrame) -> DataFrame:
     thin = shared.filter(F.col("n") <= DENSE)
     a, b = thin.select("key", F.col("fp").alias("a")), thin.select(F.col("key").alias("k"), F.col("fp").alias("b"))
     near = a.join(b, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
-    dense = shared.filter(F.col("n") > DENSE).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(v if v < 1 << 63 else v - (1 << 64)) for v in (1 << i for i in range(64))])
-    around = dense.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))
-    balls = around.groupBy("middle").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)  # 65 at most
+    around = shared.filter(F.col("n") > DENSE).select("key", "fp", F.explode(flips).alias("flip")).select("key", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))
+    balls = around.groupBy("key", "middle").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)  # 65 at most
     star = balls.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
-    return near.unionAll(star).distinct()
+    found = stage(near.unionAll(star).distinct(), "links")
+    unstage(keys, shared)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp, component_id, n_links (fingerprints linked directly to the row's one in the star or pair form)."""
+    """doc_id, text_hash, fp, root (a fingerprint of the component) and component_id of each row."""
     own = stage(fingerprints(docs), "fingerprints")
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     distinct = stage(distinct, "distinct")
-    roots = components(links(distinct)).withColumnRenamed("node", "n")
-    placed = distinct.join(roots, F.col("fp") == F.col("n"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = links(distinct)
+    roots = components(linked)
+    found = roots.withColumnRenamed("node", "n")
+    placed = distinct.join(found, F.col("fp") == F.col("n"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = stage(placed, "placed")
+    unstage(distinct, linked, roots)
     named = placed.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     of = placed.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id")
     return own.join(of, F.col("fp") == F.col("f")).select("doc_id", "text_hash", "fp", "root", "component_id")
