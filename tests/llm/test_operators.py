@@ -426,7 +426,7 @@ def test_every_shared_seed_is_linked(spark, parts):
     rows = sorted({(r.choice([1, 1, 1, 2, 3, 4]), r.randrange(3), r.randrange(40), r.randrange(5)) for _ in range(600)})
     rows += sorted({(c, 0, d, p) for c in range(5, 45) for d in range(r.randint(1, 3)) for p in r.sample(range(50), r.choice([1, 2, 9]))})
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    made = spans.neighbours(seed_rows(spark, rows).repartitionByRange(parts, *spans.ORDER), 2).collect()
+    made = spans.neighbours(seed_rows(spark, rows).repartitionByRange(parts, *spans.ORDER), 2)[0].collect()
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     groups = {}
     for c, _, d, p in rows:
@@ -630,3 +630,35 @@ def test_sums_of_blanks_between_user_and_sign():
         "x (dot) y (at) host dot com": "x (dot) y (at) host dot com",
     }.items():
         assert [text[a:z] for a, z in pii.search(text)[1]["email"]] == [want]
+
+
+def test_likely_chains():
+    """Chains with a passage are never dropped beforehand, and most chance matches are."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(21)
+    rows = []
+    for _ in range(1500):
+        a = [r.randrange(1, 1000) for _ in range(r.randint(5, 140))]
+        rate = r.choice([0, 0.05, 0.2, 1])
+        b = [x if r.random() > rate else -x for x in a]
+        for _ in range(r.randrange(3)):
+            del b[r.randrange(len(b)) : len(b) if r.random() < 0.05 else 1]
+        if len(b) < 5:
+            continue
+        p = r.randrange(len(a) - 4)
+        q = min(p, len(b) - 5)
+        b[q : q + 5] = a[p : p + 5]
+        cut = lambda v, k: v[max(0, k - passages.MARGIN) : k] + v[k + 5 : k + 5 + passages.MARGIN]
+        rows.append((1, 2, [p], [q], [5], *passages._between([p], [5]), *passages._between([q], [5]), cut(a, p), cut(b, q)))
+    names = [*(x.split()[0] for x in passages._CHAINS.split(", ")), "a_codes", "b_codes"]
+    kinds = [pa.int64()] * 2 + [pa.list_(pa.int32())] * 9
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    count = lambda: [sum(x.num_rows for x in passages._align([batch.slice(i, 1)])) for i in range(batch.num_rows)]
+    made = count()
+    old, passages._likely = passages._likely, lambda at, *_: np.ones(len(at.start) - 1, bool)
+    whole = count()
+    likely = old(*(passages.Lists(batch.column(c)) for c in ("at", "to", "words", "a_many", "b_many", "a_codes", "b_codes")))
+    passages._likely = old
+    assert sum(whole) > 200 and sum(made) >= 0.99 * sum(whole) and likely.sum() < 0.9 * len(rows)

@@ -148,7 +148,21 @@ ORDER = ("code", "ref", "pos")
 _LINKS = "kind int, code bigint, a_ref bigint, a_pos int, b_ref bigint, b_pos int"
 
 
-def _link(low: int):
+def by_document(columns: tuple[np.ndarray, ...], low: int) -> tuple[np.ndarray, ...]:
+    """Rows in ORDER -> rows whose whole code no other document has, put in order of the document inside their group: they stand
+    beside no one who goes on alike, and so a document meets the same neighbours at all its seeds of that kind."""
+    code, ref, pos = columns
+    if not low or not len(code):
+        return columns
+    start = np.nonzero(np.append(True, code[1:] != code[:-1]))[0]
+    size = np.diff(np.append(start, len(code)))
+    several = np.add.reduceat(ref != np.repeat(ref[start], size), start) > 0
+    code = np.where(np.repeat(several, size), code, code >> low << low)
+    order = np.lexsort((pos, ref, code))
+    return code[order], ref[order], pos[order]
+
+
+def _link(low: int, settle: bool = False):
     """Rows in ORDER -> kind 0: a row and its mate in the document before it that has its group (its code without the ``low``
     last bits): the one of the same number among the document's rows with the group, or else the last. Kind 1: rows that begin a
     partition and may have theirs in an earlier one. Kind 2: what later partitions may look for, the last document with its
@@ -186,7 +200,8 @@ def _link(low: int):
             if not b.num_rows:
                 continue
             lead = len(kept[0])
-            columns = tuple(np.concatenate((k, b.column(i).to_numpy(zero_copy_only=False))) for i, k in enumerate(kept))
+            fresh = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            columns = tuple(np.concatenate(x) for x in zip(kept, by_document(fresh, low if settle else 0), strict=True))
             group, ref = columns[0] >> low, columns[1]
             start = starts(group, ref)
             before = start - 1
@@ -215,15 +230,16 @@ def _link(low: int):
     return run
 
 
-def neighbours(found: DataFrame, low: int = 0) -> DataFrame:
-    """a_ref, a_pos, b_ref, b_pos: each seed with the one before it in the order of code, ref and position that has its group in
+def neighbours(found: DataFrame, low: int = 0) -> tuple[DataFrame, DataFrame]:
+    """a_ref, a_pos, b_ref, b_pos, and the staged table behind it: each seed with the one before it in the order of code, ref and position that has its group in
     another document, the greater ref as a.
 
-    The ``low`` last bits of a code only order the rows of a group. Rows of a group's first document that the next one's leave
+    The ``low`` last bits of a code only order the rows of a group (those that no other document has too come first, in order
+    of the document). Rows of a group's first document that the next one's leave
     over are linked too, so no shared seed is without a link. Rows at the bounds of partitions are linked in a second, small
     pass (a few documents' rows from each partition), again in parallel.
     """
-    linked = stage(in_python(found.sortWithinPartitions(*ORDER), _link(low), _LINKS), "neighbours", ROWS)
+    linked = stage(in_python(found.sortWithinPartitions(*ORDER), _link(low, True), _LINKS), "neighbours", ROWS)
     own = linked.select("kind", "code", F.col("a_ref").alias("ref"), F.col("a_pos").alias("pos"))
     edges = own.filter("kind in (1, 2, 4)").select(*ORDER).distinct().repartition(partitions(found.sparkSession), F.shiftright("code", low)).sortWithinPartitions(*ORDER)
     across = in_python(edges, _link(low), _LINKS)
@@ -233,7 +249,7 @@ def neighbours(found: DataFrame, low: int = 0) -> DataFrame:
     later = F.col("a_ref") > F.col("b_ref")
     side = lambda p, q: F.struct(F.col(f"{p}_ref").alias("ref"), F.col(f"{p}_pos").alias("pos"))
     pairs = pairs.select(F.when(later, side("a", "b")).otherwise(side("b", "a")).alias("a"), F.when(later, side("b", "a")).otherwise(side("a", "b")).alias("b"))
-    return pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("ref", "pos")])
+    return pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("ref", "pos")]), linked
 
 
 def merged(found: DataFrame) -> DataFrame:
