@@ -308,3 +308,42 @@ def test_checks(spark, rows, frame):
     assert broken.n == sum(r[10] is not None and r[10] > 3 for r in rows)
     assert {r.state for r in checks.agreement(frame, "browser", "addr2").collect()} == {"same", "differs", "one_missing", "both_missing"}
     assert checks.concentration(frame, "device", 1).first().top_share == pytest.approx(max(sum(r[6] == k for r in rows) for k in "ab") / sum(r[6] is not None for r in rows))
+
+
+def test_column_helpers(spark, frame):
+    from tidemark.operators import columns
+
+    with pytest.raises(ValueError):
+        columns.attach(frame, {"x": F.lit(1), "X": F.lit(2)})
+    with pytest.raises(KeyError):
+        columns.apply_plan(frame, {"nowhere": "drop"})
+    with pytest.raises(KeyError):
+        columns.select_groups(frame, {"a": ("addr*",)}, ["b"])
+    with pytest.raises(ValueError):
+        columns.label_source(frame, -1, 24 * HOUR)
+    assert columns.group_of("addr2", {"amounts": ("amount",), "address": ("addr*",)}) == "address" and columns.group_of("x", {}) is None
+    assert columns.permitted(["b", "a", "c"], ["a", "b"], ["b"]) == ["a"]
+    assert columns.symmetric_difference(frame, frame).isEmpty()
+
+
+def test_codes_follow_the_values(spark, frame, rows):
+    from tidemark.operators import columns
+
+    first = lambda v: (v is not None, v if v is not None else 0)
+    levels = sorted({(r[8], r[9]) for r in rows}, key=lambda x: tuple(map(first, x)))
+    for r in columns.codes(frame, ["addr1", "addr2"], "code").collect():
+        assert r.code == levels.index((r.addr1, r.addr2))
+    some = [x for x in levels if x != (None, None)]
+    for r in columns.codes(frame, ["addr1", "addr2"], "code", null_level=False).collect():
+        assert r.code == (some.index((r.addr1, r.addr2)) if (r.addr1, r.addr2) in some else -1)
+
+
+def test_screen_against_pandas(spark, rows, frame):
+    from tidemark.operators import correlate
+
+    names = ["amount", "dist", "addr1", "tenure"]
+    table = pd.DataFrame(rows, columns=[x.split()[0] for x in COLUMNS.split(", ")])[names].astype(float)
+    ranks = table.rank()
+    for r in correlate.spearman(frame, names).collect():
+        both = ranks[[r.a, r.b]].dropna()
+        assert r.n == len(both) and r.rho == pytest.approx(both[r.a].corr(both[r.b]))

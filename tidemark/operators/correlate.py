@@ -21,12 +21,19 @@ def ranks(df: DataFrame, columns: list[str], row: str = "id") -> DataFrame:
 
 
 def spearman(df: DataFrame, columns: list[str], row: str = "id") -> DataFrame:
-    """a, b, n, rho over rows where both are there, with ranks taken once per column: one wide row per id, one aggregate."""
-    wide = ranks(df, columns, row).groupBy(row).pivot("column", columns).agg(F.first("rank"))
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    out = wide.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), F.corr(a, b).alias("rho")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    return out.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("x")).select("x.*")
+    """a, b, n, rho over rows where both are there, with ranks taken once per column.
+
+    Each row gives its pairs of ranks to one aggregate by pair, which adds them up before the exchange, so the plan has the same
+    size for any number of columns.
+    """
+    place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
+    held = ranks(df, columns, row).groupBy(row).agg(F.collect_list(F.struct(place.alias("i"), "rank")).alias("held"))  # a rank a column
+    first = held.select("held", F.explode("held").alias("x"))
+    both = first.select("x", F.explode(F.filter("held", lambda y: y.i > F.col("x.i"))).alias("y"))
+    found = both.groupBy(F.col("x.i").alias("i"), F.col("y.i").alias("j")).agg(F.count("*").alias("n"), F.corr("x.rank", "y.rank").alias("rho"))
+    named = [(i, j, a, b) for i, a in enumerate(columns, 1) for j, b in enumerate(columns[i:], i + 1)]
+    pairs = df.sparkSession.createDataFrame(named, "i bigint, j bigint, a string, b string")
+    return pairs.join(found, ["i", "j"], "left").select("a", "b", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "rho")
 
 
 def exact_spearman(df: DataFrame, a: str, b: str, row: str = "id") -> DataFrame:

@@ -230,18 +230,18 @@ query("pr08_indicators", f"WITH {EVENTS} SELECT id, CAST(addr1 IS NULL AS INTEGE
 )
 
 
-def _vectors(spark, d, n=8):
+def _vectors(spark, d, n=64):
     return tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(n)], (F.col("label") == 0).cast("int").alias("label"))
 
 
 query(
     "pr13_block_mean",
-    "SELECT vec_id AS id, (" + " + ".join(f"(CAST(embedding[{i + 1}] AS DOUBLE) - (SELECT avg(CAST(embedding[{i + 1}] AS DOUBLE)) FROM embeddings)) / (SELECT stddev_samp(CAST(embedding[{i + 1}] AS DOUBLE)) FROM embeddings)" for i in range(8)) + ") / 8 AS block FROM embeddings",
+    "SELECT vec_id AS id, (" + " + ".join(f"(CAST(embedding[{i + 1}] AS DOUBLE) - (SELECT avg(CAST(embedding[{i + 1}] AS DOUBLE)) FROM embeddings)) / (SELECT stddev_samp(CAST(embedding[{i + 1}] AS DOUBLE)) FROM embeddings)" for i in range(64)) + ") / 64 AS block FROM embeddings",
     d="block",
-)(lambda spark, d: (lambda v: encode.apply_block_mean(v, encode.fit_block_mean(v.withColumn("ts", F.lit(0)), [f"v{i}" for i in range(8)], boundary=1), "block").select("id", "block"))(_vectors(spark, d)))
-query("pr13_block_pca")(lambda spark, d: (lambda v: (lambda m, k: spark.createDataFrame([(i, float(x)) for i, x in enumerate(m.stages[-1].explainedVariance[:k])], "component int, share double"))(*encode.fit_pca(v, [f"v{i}" for i in range(8)])))(_vectors(spark, d)))
+)(lambda spark, d: (lambda v: encode.apply_block_mean(v, encode.fit_block_mean(v.withColumn("ts", F.lit(0)), [f"v{i}" for i in range(64)], boundary=1), "block").select("id", "block"))(_vectors(spark, d)))
+query("pr13_block_pca")(lambda spark, d: (lambda v: (lambda m, k: spark.createDataFrame([(i, float(x)) for i, x in enumerate(m.stages[-1].explainedVariance[:k])], "component int, share double"))(*encode.fit_pca(v, [f"v{i}" for i in range(64)])))(_vectors(spark, d)))
 query("pr16_contract")(lambda spark, d: encode.declare(tables.events_stream(spark, d), ["amount", "dist", "tenure", "device"]))
-query("pr19_smote")(lambda spark, d: encode.smote(_vectors(spark, d), [f"v{i}" for i in range(4)]).select("from_id", "to_id", "draw", F.get("point", F.lit(0)).alias("x0")))
+query("pr19_smote")(lambda spark, d: encode.smote(_vectors(spark, d), [f"v{i}" for i in range(64)]).select("from_id", "to_id", "draw", F.get("point", F.lit(0)).alias("x0")))
 query("pr20_class_weight", f"WITH {EVENTS} SELECT count(*) FILTER (label = 0) / count(*) FILTER (label = 1) AS ratio FROM s", d="ratio")(lambda spark, d: encode.class_weight(tables.events_stream(spark, d)))
 
 

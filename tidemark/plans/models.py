@@ -102,9 +102,9 @@ query(
 )(lambda spark, d: checks.entity_stats(_events(spark, d), "card", "card", "addr1", "dist"))
 query(
     "ag31_skew_summary",
-    "WITH k AS (" + " UNION ALL ".join(f"SELECT abs(skewness(CAST(embedding[{i + 1}] AS DOUBLE))) AS x FROM embeddings" for i in range(16)) + ") SELECT count(*) AS columns, count(*) FILTER (x > 1) AS beyond_1, count(*) FILTER (x > 3) AS beyond_3, count(*) FILTER (x > 10) AS beyond_10, quantile_cont(x, 0.5) AS median, max(x) AS most FROM k",
+    "WITH k AS (" + " UNION ALL ".join(f"SELECT abs(skewness(CAST(embedding[{i + 1}] AS DOUBLE))) AS x FROM embeddings" for i in range(64)) + ") SELECT count(*) AS columns, count(*) FILTER (x > 1) AS beyond_1, count(*) FILTER (x > 3) AS beyond_3, count(*) FILTER (x > 10) AS beyond_10, quantile_cont(x, 0.5) AS median, max(x) AS most FROM k",
     d="median most",
-)(lambda spark, d: checks.skew_summary(profile.numeric_profile(tables.table(spark, d, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(16)]), [f"v{i}" for i in range(16)])))
+)(lambda spark, d: checks.skew_summary(profile.numeric_profile(tables.table(spark, d, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(64)]), [f"v{i}" for i in range(64)])))
 query(
     "ag32_coverage",
     f"WITH {EVENTS}, {_SPLIT}, u AS (SELECT split, label, 'entity' AS grain, min(ts) OVER (PARTITION BY entity) >= ts AS cold FROM x UNION ALL SELECT split, label, 'addr1', addr1 IS NULL OR min(ts) OVER (PARTITION BY addr1) >= ts FROM x), "
@@ -195,16 +195,22 @@ query("ss08_weekly", f"SELECT epoch_us(ts) // {7 * DAY} * 7 AS start_day, count(
 )
 
 
-@query(
-    "ss11_matured_labels",
-    f"WITH {EVENTS}, l AS (SELECT id, label, ts + (5 + id % 11) * {DAY} AS at FROM s) SELECT s.id, s.amount, l.label FROM s JOIN l ON s.id = l.id WHERE l.at >= s.ts + {7 * DAY} AND l.at <= s.ts + {14 * DAY}",
-    d="amount",
-    i="label",
-)
-def matured_labels(spark, d):
-    """Labels come 5 to 15 days after their rows; those of 7 to 14 days are matured."""
-    src = _stream(spark, d, "events")
+def _labelled(src):
     rows = src.select(F.col("event_id").alias("id"), F.col("value").alias("amount"), F.col("ts").cast("timestamp").alias("event_time"))
     k = F.get_json_object("props", "$.k").cast("bigint")
-    labels = src.select(F.col("event_id").alias("id"), (k % 25 == 0).cast("int").alias("label"), F.expr("cast(ts as timestamp) + make_interval(0, 0, 0, cast(5 + event_id % 11 as int))").alias("label_time"))
-    return _run(late.matured(rows, labels, "7 days").select("id", "amount", "label"))
+    arrival = F.expr("cast(ts as timestamp) + make_interval(0, 0, 0, cast(5 + event_id % 11 as int))")
+    return rows, src.select(F.col("event_id").alias("id"), (k % 25 == 0).cast("int").alias("label"), arrival.alias("label_time"))
+
+
+_ARRIVALS = f"WITH {EVENTS}, l AS (SELECT id, label, ts + (5 + id % 11) * {DAY} AS at FROM s) SELECT s.id, s.amount, l.label FROM s JOIN l ON s.id = l.id"
+
+
+@query("ss11_matured_labels", f"{_ARRIVALS} WHERE l.at <= s.ts + {12 * DAY}", d="amount", i="label")
+def matured_labels(spark, d):
+    """Labels come 5 to 15 days after their rows; after 12 days they are final."""
+    return _run(late.matured(*_labelled(_stream(spark, d, "events")), "12 days").select("id", "amount", "label"))
+
+
+@query("ss11_late_labels", f"{_ARRIVALS} WHERE l.at > s.ts + {12 * DAY}", d="amount", i="label")
+def late_labels(spark, d):
+    return late.after_maturity(*_labelled(tables.table(spark, d, "events")), "12 days").select("id", "amount", "label")

@@ -176,7 +176,7 @@ query(
     "SELECT regr_slope(r, t) AS slope, regr_r2(r, t) AS r2, count(*) AS periods, (SELECT d / sqrt(m * (m - e)) FROM q) AS tau, sum((k - n * o) ** 2 / (n * o * (1 - o))) AS chi2 FROM p, z",
     d="slope r2 tau chi2",
 )(lambda spark, d: correlate.trend(_events(spark, d).withColumn("period", F.expr(f"ts div {DAY}").cast("double"))))
-query("st03_screened")(lambda spark, d: correlate.screened(correlate.spearman(_vectors(spark, d), [f"v{i}" for i in range(8)]), 0.1))
+query("st03_screened")(lambda spark, d: correlate.screened(correlate.spearman(_vectors(spark, d), [f"v{i}" for i in range(64)]), 0.1))
 
 
 # --- evaluation: the score is the discount-like share of the amount, which is known and tied

@@ -25,8 +25,8 @@ query("pf21_payload", "SELECT event_id AS id, CAST(json_extract_string(props, '$
 )
 query(
     "tk05_contributions",
-    "WITH u AS (" + " UNION ALL ".join(f"SELECT vec_id AS id, 'v{i}' AS name, abs(CAST(embedding[{i + 1}] AS DOUBLE)) AS x FROM embeddings" for i in range(8)) + "), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY x DESC, name) AS r FROM u) SELECT id, string_agg(name, ',' ORDER BY r) AS top FROM r WHERE r <= 3 GROUP BY id",
-)(lambda spark, d: tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array_join(report.top_contributions({f"v{i}": F.get("embedding", F.lit(i)).cast("double") for i in range(8)}, 3), ",").alias("top")))
+    "WITH u AS (" + " UNION ALL ".join(f"SELECT vec_id AS id, 'v{i}' AS name, abs(CAST(embedding[{i + 1}] AS DOUBLE)) AS x FROM embeddings" for i in range(64)) + "), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY x DESC, name) AS r FROM u) SELECT id, string_agg(name, ',' ORDER BY r) AS top FROM r WHERE r <= 3 GROUP BY id",
+)(lambda spark, d: tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array_join(report.top_contributions({f"v{i}": F.get("embedding", F.lit(i)).cast("double") for i in range(64)}, 3), ",").alias("top")))
 query("sf06_origin", f"WITH {EVENTS} SELECT id, floor(ts / {DAY} - tenure) AS origin FROM s", i="origin")(lambda spark, d: _events(spark, d).select("id", scalar.origin(F.col("ts") / 1_000_000, F.col("tenure")).alias("origin")))
 query("sf18_interpolate", f"WITH {SCORED} SELECT id, CASE WHEN score <= 0.1 THEN 0.01 WHEN score <= 0.4 THEN 0.01 + (score - 0.1) * (0.2 - 0.01) / 0.3 WHEN score <= 0.9 THEN 0.2 + (score - 0.4) * 0.6 / 0.5 ELSE 0.8 END AS p FROM e", d="p")(
     lambda spark, d: _scored(spark, d).select("id", report.interpolate(F.col("score"), [(0.1, 0.01), (0.4, 0.2), (0.9, 0.8)]).alias("p"))
