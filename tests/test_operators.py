@@ -3,13 +3,14 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidemark.functions import scalar
-from tidemark.operators import causal, challenge, checks, correlate, encode, evaluate, graph, guards, monitor, prepare, profile
+from tidemark.operators import causal, challenge, checks, correlate, encode, evaluate, graph, guards, monitor, ordered, prepare, profile
 from tidemark.sources import csv
 from tidemark.streaming import online
 
@@ -347,3 +348,56 @@ def test_screen_against_pandas(spark, rows, frame):
     for r in correlate.spearman(frame, names).collect():
         both = ranks[[r.a, r.b]].dropna()
         assert r.n == len(both) and r.rho == pytest.approx(both[r.a].corr(both[r.b]))
+
+
+@pytest.mark.parametrize("parts", [2, 7, 256])
+def test_sums_and_percentiles_over_slices(spark, parts):
+    r = random.Random(parts)
+    rows = [(r.choice(["a", "b", None]), r.choice([0.0, 0.0, None, round(r.gauss(0, 50), 1)])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    counts = df.groupBy("k", "v").agg(F.count("*").alias("n"))
+    for down in (False, True):
+        found = {(x.k, x.v): (x.upto_n, x.all_n) for x in ordered.running(counts, "v", "n", by=("k",), down=down, parts=parts).collect()}
+        low = float("-inf")
+        for (k, v), got in found.items():
+            own = [low if y is None else y for x, y in rows if x == k]
+            at = low if v is None else v
+            assert got == (sum(y >= at if down else y <= at for y in own), len(own))
+    qs = [0.0, 0.013, 0.5, 0.95, 1.0]
+    got = {x.k: list(x.q) for x in ordered.percentiles(df, qs, "k", value="v").collect()}
+    for k in ("a", "b", None):
+        assert got[k] == pytest.approx(list(np.quantile([v for x, v in rows if x == k and v is not None], qs)))
+
+
+def test_slices_of_nothing(spark):
+    none = spark.createDataFrame([], "k string, v double")
+    assert ordered.percentiles(none, [0.5], "k", value="v").collect() == [] == guards.boundaries(none, "v")
+    assert ordered.percentiles(none.select("v"), [0.5], value="v").collect() == []
+    nulls = spark.createDataFrame([("a", None), ("a", None)], "k string, v double")
+    assert ordered.percentiles(nulls, [0.5], "k", value="v").collect() == []
+    assert profile.quantile_edges(nulls, ["v"]) == {"v": []}
+
+
+def test_no_task_holds_a_whole_order(spark):
+    """Every window over a table with a row per value has a slice among its keys."""
+    scores = spark.range(5000).select((F.col("id") % 997 / 997).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    plan = evaluate.curve(scores)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    assert sum("slice_" in x for x in windows) >= 2 and len(windows) <= 4
+    sizes = ordered.running(evaluate.by_score(scores), "score", "n").withColumn("slice", ordered.slice_of(F.col("score"), ordered.cuts(scores, "score")))
+    assert sizes.groupBy("slice").count().agg(F.max("count")).first()[0] <= 8
+
+
+def test_isotonic_against_pooling(spark):
+    r = random.Random(8)
+    rows = [(i / 60, int(r.random() < i / 60)) for i in range(60)]
+    blocks = []
+    for s, y in rows:  # pool adjacent violators
+        blocks.append([y, 1, [s]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            y2, n2, s2 = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + y2, blocks[-1][1] + n2, blocks[-1][2] + s2]
+    want = {s: y / n for y, n, at in blocks for s in at}
+    df = spark.createDataFrame(rows, "score double, label int")
+    got = evaluate.isotonic(df).transform(df.select("score", F.col("score").alias("features"))).collect()
+    assert {x.score: x.prediction for x in got} == pytest.approx(want)

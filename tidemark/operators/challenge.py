@@ -10,14 +10,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import correlate, evaluate, guards, profile
+from tidemark.operators import correlate, evaluate, guards, ordered, profile
 
 
 def _auc_of_counts(counts: DataFrame, value: str, positives: str, negatives: str, *by: str) -> DataFrame:
     """by..., auc over rows of (value, positives, negatives), ties half."""
-    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     level = counts.groupBy(*by, value).agg(F.sum(positives).alias("p"), F.sum(negatives).alias("q"))
-    level = level.withColumn("under", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    level = ordered.running(level, value, "q", by=by).withColumn("under", F.col("upto_q") - F.col("q"))
     return level.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * (F.col("under") + F.col("q") / 2.0)), F.sum("p") * F.sum("q")).alias("auc"))
 
 

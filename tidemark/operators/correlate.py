@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
 from tidemark.operators.profile import long
 
 
@@ -15,8 +16,8 @@ def ranks(df: DataFrame, columns: list[str], row: str = "id") -> DataFrame:
     """
     rows = long(df, columns, row).filter("value is not null")
     counts = rows.groupBy("column", "value").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("rank", F.sum("n").over(upto) - (F.col("n") - 1) / 2.0).drop("n")
+    placed = ordered.running(counts, "value", "n", by=("column",))
+    placed = placed.select("column", "value", (F.col("upto_n") - (F.col("n") - 1) / 2.0).alias("rank"))
     return rows.join(placed, ["column", "value"])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
+
 
 def by_score(df: DataFrame, *by: str, score: str = "score", label: str = "label") -> DataFrame:
     return df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(label).cast("double").alias("tp"), F.count("*").cast("double").alias("n"))
@@ -13,8 +15,9 @@ def by_score(df: DataFrame, *by: str, score: str = "score", label: str = "label"
 def curve(df: DataFrame, *by: str, score: str = "score", label: str = "label") -> DataFrame:
     """For each distinct score: positives and alerts at or above it."""
     g = by_score(df, *by, score=score, label=label)
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select(*by, "score", F.col("tp").alias("own"), F.col("n").alias("own_n"), F.sum("tp").over(down).alias("tp"), F.sum("n").over(down).alias("alerts"), F.sum("tp").over(Window.partitionBy(*by)).alias("positives"), F.sum("n").over(Window.partitionBy(*by)).alias("rows"))
+    c = ordered.running(g, "score", "tp", "n", by=by, down=True)
+    totals = [F.col("all_tp").alias("positives"), F.col("all_n").alias("rows")]
+    return c.select(*by, "score", F.col("tp").alias("own"), F.col("n").alias("own_n"), F.col("upto_tp").alias("tp"), F.col("upto_n").alias("alerts"), *totals)
 
 
 def average_precision(df: DataFrame, *by: str, score: str = "score", label: str = "label") -> DataFrame:
@@ -72,12 +75,11 @@ def reliability(df: DataFrame, bins: int = 10, p: str = "score", label: str = "l
 def _ranked(df: DataFrame, p: str, row: str, parts: int = 256) -> DataFrame:
     """place (from 0) of each row in the order of (p, row), and the number of rows, without one task for all rows: rows are
     numbered inside slices of the value and slices are offset by their counts."""
-    edges = df.agg(F.percentile_approx(p, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("e")).first().e or []
-    cut = F.array(*[F.lit(float(e)) for e in sorted(set(edges))]).cast("array<double>")
-    sliced = df.withColumn("slice", F.size(F.filter(cut, lambda e: e < F.col(p))))
+    edges = ordered.cuts(df, p, parts)
+    sliced = df.withColumn("slice", F.greatest(ordered.slice_of(F.col(p), edges), F.lit(0)))
     sizes = dict(sliced.groupBy("slice").count().collect())  # a row per slice, ``parts`` at most
     lead, upto = [], 0
-    for i in range(len(set(edges)) + 1):
+    for i in range(len(edges) + 1):
         lead.append(upto)
         upto += sizes.get(i, 0)
     at = F.row_number().over(Window.partitionBy("slice").orderBy(p, row))

@@ -1,7 +1,7 @@
 """Profiles: shapes, distributions, missingness, information value, stability, entities, duplicates.
 
 Wide profiles turn columns into rows once (``long``) and aggregate by column, so the number of jobs doesn't grow with the
-number of columns. Exact percentiles are asked for where the definition needs them; they are aggregates by column.
+number of columns. Exact percentiles come from counts by value, cumulated over slices of the order (see ``ordered``).
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import right_closed, two_proportion_z, wilson
+from tidemark.operators import ordered
 
 MISSING = "(missing)"
 SMOOTHING = 0.5
@@ -55,14 +56,14 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     rows = long(df, columns)
     n = F.col("count").cast("double")
     base = rows.groupBy("column").agg(
-        F.count("*").alias("n_total"), F.count("value").alias("count"), F.countDistinct("value").alias("n_unique"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.count("*").alias("n_total"), F.count("value").alias("count"), F.min("value").alias("least"), F.max("value").alias("most"),
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"),
-        F.percentile("value", F.array(*[F.lit(q) for q in QUANTILES])).alias("q"), F.avg((F.col("value") == 0).cast("double")).alias("zero_share"),
+        F.avg((F.col("value") == 0).cast("double")).alias("zero_share"),
     )
     counts = rows.filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("k"))
-    top = counts.groupBy("column").agg(F.max_by("value", F.struct("k", -F.col("value"))).alias("top_value"), F.max("k").alias("top_count"))
-    out = base.join(top, "column", "left").select(
-        "column", "n_total", "count", "n_unique", "least", "most", "mean", "std", "top_value",
+    top = counts.groupBy("column").agg(F.max_by("value", F.struct("k", -F.col("value"))).alias("top_value"), F.max("k").alias("top_count"), F.count("*").alias("n_unique"))
+    out = base.join(top, "column", "left").join(ordered.percentiles(rows, QUANTILES, "column"), "column", "left").select(
+        "column", "n_total", "count", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "least", "most", "mean", "std", "top_value",
         F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
         F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)).alias("kurtosis"),
         *[F.get("q", F.lit(i)).alias(f"p{int(q * 100):02d}") for i, q in enumerate(QUANTILES)],
@@ -129,11 +130,17 @@ def missing_against_label(df: DataFrame, columns: list[str], label: str = "label
     return g.select("*", d("k_missing", "n_missing").alias("rate_missing"), d("k_present", "n_present").alias("rate_present"), F.try_divide(d("k_missing", "n_missing"), d("k_present", "n_present")).alias("risk_ratio"), two_proportion_z(km, nm, kp, np_).alias("z"))
 
 
+def column_percentiles(df: DataFrame, columns: list[str], qs: list[float] | tuple[float, ...]) -> dict[str, list[float]]:
+    """Exact percentiles of each column that has a value; a row per column comes to the driver."""
+    if not columns:
+        return {}
+    return {r.column: list(r.q) for r in ordered.percentiles(long(df, list(columns)), qs, "column").collect()}
+
+
 def quantile_edges(df: DataFrame, columns: list[str], bins: int = 10) -> dict[str, list[float]]:
     """Inner cut points of each column, equal ones once; the outermost bins are open. One aggregate for all columns."""
-    qs = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), qs).alias(c) for c in columns]).first()
-    return {c: sorted(set(row[c]))[1:-1] if row[c] else [] for c in columns}
+    found = column_percentiles(df, columns, [i / bins for i in range(bins + 1)])
+    return {c: sorted(set(found.get(c, [])))[1:-1] for c in columns}
 
 
 def binned(c: str, edges: list[float]) -> Column:
@@ -275,11 +282,12 @@ def membership(df: DataFrame, keys: DataFrame, key: str, label: str = "label") -
 def clip_cost(df: DataFrame, columns: list[str], tails: tuple[float, ...] = (0.001, 0.01), label: str = "label") -> DataFrame:
     """Rows and positives outside symmetric quantiles, for each column and tail."""
     qs = [q for t in tails for q in (t, 1 - t)]
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in qs])).alias(c) for c in columns]).first()
+    row = column_percentiles(df, columns, qs)
     parts = []
     for c in columns:
+        bounds = row.get(c, [None] * len(qs))
         for i, t in enumerate(tails):
-            out = (F.col(c) < row[c][2 * i]) | (F.col(c) > row[c][2 * i + 1])
+            out = (F.col(c) < F.lit(bounds[2 * i])) | (F.col(c) > F.lit(bounds[2 * i + 1]))
             parts.append(F.struct(F.lit(c).alias("column"), F.lit(t).alias("tail"), F.count_if(out).alias("n_out"), F.coalesce(F.sum(F.when(out, F.col(label))), F.lit(0)).alias("k_out")))
     return df.agg(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(parts))])).alias("x")).select("x.*")
 
@@ -287,7 +295,7 @@ def clip_cost(df: DataFrame, columns: list[str], tails: tuple[float, ...] = (0.0
 def quantile_shift(a: DataFrame, b: DataFrame, columns: list[str], qs: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
     """column, q, value in a, in b and the difference."""
     at = F.array(*[F.lit(q) for q in qs])
-    side = lambda df, n: long(df, columns).groupBy("column").agg(F.percentile("value", at).alias("v")).select("column", F.posexplode("v").alias("i", n))
+    side = lambda df, n: ordered.percentiles(long(df, columns), qs, "column").select("column", F.posexplode("q").alias("i", n))
     both = side(a, "x").join(side(b, "y"), ["column", "i"])
     return both.select("column", F.get(at, F.col("i")).alias("q"), "x", "y", (F.col("y") - F.col("x")).alias("shift"))
 

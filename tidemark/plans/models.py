@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar
 from tidemark.operators import challenge, checks, guards, prepare, profile
 from tidemark.plans.features import _SPLIT, _split
-from tidemark.plans.profiles import SCORED, _scored
+from tidemark.plans.profiles import SCORED, _scored, psi_sql
 from tidemark.plans.registry import query
 from tidemark.sources import tables
 from tidemark.sources.tables import DAY, EVENTS
@@ -92,7 +92,25 @@ query(
     d="amount dist device",
     i="amount_missing dist_missing device_missing",
 )(lambda spark, d: (lambda s, t: prepare.tree_matrix(s, ["amount", "dist"], ["device"], prepare.fit_levels(s.filter(F.col("ts") < t), ["device"], boundary=t), sentinel=-1.0))(_events(spark, d), guards.boundaries(_events(spark, d))[0]))
-query("pr11_origin_psi")(lambda spark, d: (lambda x: prepare.origin_psi(x.filter("split = 'train'"), x.filter("split = 'test'"), ["tenure"]))(_split(spark, d)))
+
+
+_ORIGINS = (
+    "o AS (SELECT split, label, CAST(tenure AS DOUBLE) AS tenure, CAST(floor(ts / {day} - tenure) AS DOUBLE) AS tenure_origin FROM x), "
+    "tr AS (SELECT * FROM o WHERE split = 'train'), te AS (SELECT * FROM o WHERE split = 'test')"
+).format(day=DAY)
+
+
+@query(
+    "pr11_origin_psi",
+    f"WITH {EVENTS}, {_SPLIT}, {_ORIGINS}, {psi_sql(['tenure', 'tenure_origin'], 'tr', 'te')} SELECT 'tenure' AS \"column\", "
+    "max(psi) FILTER (\"column\" = 'tenure') AS psi_count, max(psi) FILTER (\"column\" = 'tenure_origin') AS psi_origin FROM psi",
+    d="psi_count psi_origin",
+)
+def origin_psi(spark, d):
+    rows = _split(spark, d)
+    return prepare.origin_psi(rows.filter("split = 'train'"), rows.filter("split = 'test'"), ["tenure"])
+
+
 
 query(
     "ag06_entity_stats",

@@ -86,6 +86,18 @@ def _bins(c, src="s", ref="s"):
     return f"SELECT label, '{c}' AS \"column\", {_BIN.format(c=c)} AS bin FROM (SELECT *, {_EDGES.format(c=c, t=ref)} AS e FROM {src})"
 
 
+def psi_sql(columns: list[str], ref: str, cur: str) -> str:
+    """CTEs that end in ``psi`` (column, psi, n_new) of numeric columns, binned by the reference's deciles."""
+    shares = "SELECT \"column\", bin, count(*) / sum(count(*)) OVER (PARTITION BY \"column\") AS share FROM {} GROUP BY \"column\", bin"
+    r, c = (" UNION ALL ".join(_bins(x, side, ref) for x in columns) for side in (ref, cur))
+    both = (
+        "SELECT coalesce(rs.\"column\", cs.\"column\") AS \"column\", rs.share IS NULL AS fresh, greatest(coalesce(rs.share, 0), 1e-6) AS e, "
+        "greatest(coalesce(cs.share, 0), 1e-6) AS a FROM rs FULL JOIN cs ON rs.\"column\" = cs.\"column\" AND rs.bin = cs.bin"
+    )
+    found = "SELECT \"column\", sum((a - e) * ln(a / e)) AS psi, count(*) FILTER (fresh) AS n_new FROM j GROUP BY 1"
+    return f"r AS ({r}), c AS ({c}), rs AS ({shares.format('r')}), cs AS ({shares.format('c')}), j AS ({both}), psi AS ({found})"
+
+
 query("ag16_deciles", f"WITH {EVENTS}, b AS (SELECT amount, label, {_BIN.format(c='amount')} AS bin FROM (SELECT *, {_EDGES.format(c='amount', t='s')} AS e FROM s)), g AS (SELECT bin, count(*) AS n, sum(label) AS k, min(amount) AS least, max(amount) AS most FROM b GROUP BY 1) SELECT bin, n, k, least, most, k / n AS rate, {_wilson('k', 'n')} FROM g", d="least most rate low high", i="k")(
     lambda spark, d: profile.decile_table(_events(spark, d), "amount")
 )
@@ -132,7 +144,25 @@ def zero_positive(spark, d):
 query("ag23_normalisation", "SELECT count(DISTINCT p_name) AS raw, count(DISTINCT split_part(lower(p_name), ' ', 1)) AS normalised FROM part")(
     lambda spark, d: tables.table(spark, d, "part").agg(F.countDistinct("p_name").alias("raw"), F.countDistinct(scalar.normalise_device(F.col("p_name"))).alias("normalised"))
 )
-query("ag25_clip_cost")(lambda spark, d: profile.clip_cost(_events(spark, d), ["amount", "dist"]))
+
+
+def _clip_sql(column: str, tail: float) -> str:
+    outside = f"({column} < low OR {column} > high)"
+    bounds = f"SELECT quantile_cont({column}, {tail}) AS low, quantile_cont({column}, {1 - tail}) AS high FROM s"
+    return (
+        f"SELECT '{column}' AS \"column\", {tail}::DOUBLE AS tail, count(*) FILTER {outside} AS n_out, "
+        f"coalesce(sum(label) FILTER {outside}, 0) AS k_out FROM s, ({bounds})"
+    )
+
+
+_CLIPS = " UNION ALL ".join(_clip_sql(c, t) for c in ("amount", "dist") for t in (0.001, 0.01))
+
+
+@query("ag25_clip_cost", f"WITH {EVENTS} {_CLIPS}", i="k_out")
+def clip_cost(spark, d):
+    return profile.clip_cost(_events(spark, d), ["amount", "dist"])
+
+
 query("ag26_null_rates", f"WITH {EVENTS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", true AS present, count(*) - count({c}) AS n_null, (count(*) - count({c})) / count(*) AS rate FROM s" for c in ("addr1", "dist", "label")) + " UNION ALL SELECT 'absent', false, NULL, NULL", d="rate")(
     lambda spark, d: profile.null_rates(_events(spark, d), ["addr1", "dist", "label", "absent"])
 )
@@ -144,7 +174,21 @@ query("ag35_quantile_shift", f"WITH {EVENTS}, {_SPLIT} " + " UNION ALL ".join(f"
     lambda spark, d: (lambda x: profile.quantile_shift(x.filter("split = 'train'"), x, ["amount"]))(_split(spark, d))
 )
 query("ag38_ties", f"WITH {LINES}, g AS (SELECT count(*) AS n FROM s GROUP BY entity, day) SELECT sum(n - 1) AS tied_rows, count(*) FILTER (n > 1) AS groups FROM g", i="tied_rows")(lambda spark, d: profile.ties(tables.lineitem_stream(spark, d), "entity", "day"))
-query("ag39_compare")(lambda spark, d: profile.compare(_events(spark, d), _events(spark, d).withColumn("amount", F.when(F.col("id") % 100 > 0, F.col("amount"))), ["amount", "dist"]))
+
+
+@query(
+    "ag39_compare",
+    f"WITH {EVENTS}, p AS (SELECT 'amount' AS \"column\", amount AS x, CASE WHEN id % 100 > 0 THEN amount END AS y FROM s "
+    "UNION ALL SELECT 'dist', dist, dist FROM s) SELECT \"column\", count(*) AS n, max(abs(x - y)) AS worst, "
+    "count(*) FILTER ((x IS NULL) <> (y IS NULL)) AS n_null_mismatch, count(*) FILTER (abs(x - y) > 1e-9) AS n_beyond FROM p GROUP BY 1",
+    d="worst",
+)
+def compare(spark, d):
+    events = _events(spark, d)
+    holed = events.withColumn("amount", F.when(F.col("id") % 100 > 0, F.col("amount")))
+    return profile.compare(events, holed, ["amount", "dist"])
+
+
 query("ag40_fingerprint")(lambda spark, d: profile.fingerprint(_events(spark, d)))
 query("tk03_top_levels", f"WITH {EVENTS} SELECT entity, count(*) AS n FROM s GROUP BY 1 ORDER BY n DESC, entity LIMIT 10")(lambda spark, d: _events(spark, d).groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(10))
 
@@ -176,7 +220,20 @@ query(
     "SELECT regr_slope(r, t) AS slope, regr_r2(r, t) AS r2, count(*) AS periods, (SELECT d / sqrt(m * (m - e)) FROM q) AS tau, sum((k - n * o) ** 2 / (n * o * (1 - o))) AS chi2 FROM p, z",
     d="slope r2 tau chi2",
 )(lambda spark, d: correlate.trend(_events(spark, d).withColumn("period", F.expr(f"ts div {DAY}").cast("double"))))
-query("st03_screened")(lambda spark, d: correlate.screened(correlate.spearman(_vectors(spark, d), [f"v{i}" for i in range(64)]), 0.1))
+
+
+@query(
+    "st03_screened",
+    "WITH v AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), "
+    "r AS (SELECT id, i, (rank() OVER (PARTITION BY i ORDER BY x) + (count(*) OVER (PARTITION BY i, x) - 1) / 2.0)::DOUBLE AS r FROM v WHERE x IS NOT NULL) "
+    "SELECT 'v' || (p.i - 1) AS a, 'v' || (q.i - 1) AS b, count(*) AS n, corr(p.r, q.r) AS rho "
+    "FROM r p JOIN r q ON p.id = q.id AND p.i < q.i GROUP BY p.i, q.i HAVING abs(corr(p.r, q.r)) >= 0.1",
+    d="rho",
+)
+def screened(spark, d):
+    return correlate.screened(correlate.spearman(_vectors(spark, d), [f"v{i}" for i in range(64)]), 0.1)
+
+
 
 
 # --- evaluation: the score is the discount-like share of the amount, which is known and tied

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar
 from tidemark.operators import encode, evaluate, graph, guards, report
 from tidemark.plans.features import _SPLIT, _split
-from tidemark.plans.profiles import SCORED, _scored
+from tidemark.plans.profiles import SCORED, _scored, psi_sql
 from tidemark.plans.registry import query
 from tidemark.sources import tables
 from tidemark.sources.tables import DAY, EVENTS, LINES
@@ -59,7 +59,15 @@ query(
 query("co35_saturation", f"WITH {EVENTS}, l AS (SELECT ts // {7 * DAY} AS level, count(*) AS rate FROM s GROUP BY 1), g AS (SELECT *, lag(rate) OVER (ORDER BY level) AS b FROM l) SELECT min(level) AS level FROM g WHERE rate < 1.1 * b")(
     lambda spark, d: report.saturation(_events(spark, d).groupBy(F.expr(f"ts div {7 * DAY}").alias("level")).agg(F.count("*").alias("rate")))
 )
-query("co15_stability")(lambda spark, d: (lambda x: report.stability(x.filter("split = 'train'"), x.filter("split = 'test'"), ["amount", "dist", "tenure"]))(_split(spark, d)))
+_SIDES = "tr AS (SELECT * FROM x WHERE split = 'train'), te AS (SELECT * FROM x WHERE split = 'test')"
+
+
+@query("co15_stability", f"WITH {EVENTS}, {_SPLIT}, {_SIDES}, {psi_sql(['amount', 'dist', 'tenure'], 'tr', 'te')} SELECT * FROM psi", d="psi")
+def stability(spark, d):
+    rows = _split(spark, d)
+    return report.stability(rows.filter("split = 'train'"), rows.filter("split = 'test'"), ["amount", "dist", "tenure"])
+
+
 query("pr04_target_sweep")(
     lambda spark, d: (
         lambda x: reduce(
