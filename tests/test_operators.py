@@ -401,3 +401,25 @@ def test_isotonic_against_pooling(spark):
     df = spark.createDataFrame(rows, "score double, label int")
     got = evaluate.isotonic(df).transform(df.select("score", F.col("score").alias("features"))).collect()
     assert {x.score: x.prediction for x in got} == pytest.approx(want)
+
+
+def test_components_of_variance_against_numpy(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(200, 6)) @ r.normal(size=(6, 6))
+    df = spark.createDataFrame([tuple(map(float, row)) for row in x], ", ".join(f"v{i} double" for i in range(6)))
+    model, keep = encode.fit_pca(df, df.columns)
+    values = np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1]
+    shares = values / values.sum()
+    assert list(model.stages[-1].explainedVariance) == pytest.approx(list(shares))
+    assert keep == int(np.searchsorted(np.cumsum(shares), 0.95)) + 1
+
+
+def test_rate_of_the_others(spark):
+    labels = {1: 1, 2: 0, 3: 1, 4: 1, 5: 0}
+    group = {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    components = spark.createDataFrame(list(group.items()), "id bigint, component bigint")
+    df = spark.createDataFrame(list(labels.items()), "id bigint, label int")
+    got = {x.id: x.rate for x in graph.leave_one_out_rate(components, df).collect()}
+    for i, c in group.items():
+        others = [labels[j] for j in group if group[j] == c and j != i]
+        assert got[i] == (sum(others) / len(others) if others else None)
