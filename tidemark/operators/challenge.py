@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import correlate, evaluate, guards, ordered, profile
 
 
-def _auc_of_counts(counts: DataFrame, value: str, positives: str, negatives: str, *by: str) -> DataFrame:
+def auc_of_counts(counts: DataFrame, value: str, positives: str, negatives: str, *by: str) -> DataFrame:
     """by..., auc over rows of (value, positives, negatives), ties half."""
     level = counts.groupBy(*by, value).agg(F.sum(positives).alias("p"), F.sum(negatives).alias("q"))
     level = ordered.running(level, value, "q", by=by).withColumn("under", F.col("upto_q") - F.col("q"))
@@ -33,8 +33,8 @@ def time_consistency(early: DataFrame, late: DataFrame, numeric: list[str], leve
     w = Window.partitionBy("column")
     overall = F.try_divide(F.sum("early_p").over(w), F.sum(F.col("early_p") + F.col("early_q")).over(w))
     rated = both.withColumn("rate", F.round(F.coalesce(F.try_divide(F.col("early_p"), F.col("early_p") + F.col("early_q")), overall), 12))
-    a = _auc_of_counts(rated, "rate", "early_p", "early_q", "column").withColumnRenamed("auc", "early_auc")
-    b = _auc_of_counts(rated, "rate", "late_p", "late_q", "column").withColumnRenamed("auc", "late_auc")
+    a = auc_of_counts(rated, "rate", "early_p", "early_q", "column").withColumnRenamed("auc", "early_auc")
+    b = auc_of_counts(rated, "rate", "late_p", "late_q", "column").withColumnRenamed("auc", "late_auc")
     return a.join(b, "column").withColumn("inverted", (F.col("early_auc") > 0.5) & (F.col("late_auc") < 0.5))
 
 
@@ -43,7 +43,7 @@ def single_column_auc(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFra
     counts = profile.long(a.withColumn("side", F.lit(0)).select("side", *columns).unionByName(b.withColumn("side", F.lit(1)).select("side", *columns)), columns, "side")
     counts = counts.groupBy("column", "value").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 0).alias("n0"))
     several = counts.groupBy("column").agg((F.count("*") > 1).alias("several"))
-    return _auc_of_counts(counts, "value", "n1", "n0", "column").join(several, "column").select("column", F.when(F.col("several"), F.col("auc")).alias("auc"))
+    return auc_of_counts(counts, "value", "n1", "n0", "column").join(several, "column").select("column", F.when(F.col("several"), F.col("auc")).alias("auc"))
 
 
 def adversarial(a: DataFrame, b: DataFrame, columns: list[str], folds: int = 5, family: str = "boosted", row: str = "id", seed: int = 42) -> DataFrame:

@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None, d: str = "", i: str = ""):
 
 
 def _load() -> None:
-    from tidemark.plans import columns, features, models, profiles, reports  # noqa: F401
+    from tidemark.plans import columns, decide, features, models, profiles, reports  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
@@ -68,20 +65,6 @@ def stability(spark, d):
     return report.stability(rows.filter("split = 'train'"), rows.filter("split = 'test'"), ["amount", "dist", "tenure"])
 
 
-query("pr04_target_sweep")(
-    lambda spark, d: (
-        lambda x: reduce(
-            DataFrame.unionByName,
-            [
-                evaluate.roc_auc(encode.target_encode(x, "addr1", F.col("split") == "train", lag, m).filter("split = 'val' and addr1_te is not null"), score="addr1_te").select(F.lit(lag).alias("lag"), F.lit(m).alias("smoothing"), "roc_auc")
-                for lag in (1, 7)
-                for m in (5.0, 50.0)
-            ],
-        )
-    )(_split(spark, d).withColumn("day", F.expr(f"ts div {DAY}")))
-)
-
-
 @query("gr09_leave_one_out")
 def leave_one_out(spark, d):
     from tidemark.plans.features import static
