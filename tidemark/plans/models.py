@@ -13,7 +13,7 @@ from tidemark.plans.profiles import SCORED, _scored, psi_sql
 from tidemark.plans.registry import query
 from tidemark.sources import tables
 from tidemark.sources.tables import DAY, EVENTS
-from tidemark.streaming import late, online
+from tidemark.streaming import files, late, online
 
 
 def _events(spark, d):
@@ -201,15 +201,15 @@ def _stream(spark, d, table):
     return spark.readStream.schema(tables.table(spark, d, table).schema).parquet(f"{d}/{table}.parquet*")
 
 
-def _run(out, mode="append"):
-    """The whole input as one available-now stream, read back as a table."""
+def _run(out):
+    """The whole input as one available-now stream of a small aggregate, read back as a table of the driver's memory."""
     name = "stream_" + uuid.uuid4().hex
-    out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return out.sparkSession.table(name)
 
 
 query("ss08_weekly", f"SELECT epoch_us(ts) // {7 * DAY} * 7 AS start_day, count(*) AS n, sum(value) AS total FROM events GROUP BY 1", d="total")(
-    lambda spark, d: _run(online.weekly(_stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("event_time"), F.col("value").alias("amount"))), "complete").select(F.expr(f"unix_micros(week.start) div {DAY}").alias("start_day"), "n", "total")
+    lambda spark, d: _run(online.weekly(_stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("event_time"), F.col("value").alias("amount")))).select(F.expr(f"unix_micros(week.start) div {DAY}").alias("start_day"), "n", "total")
 )
 
 
@@ -226,7 +226,7 @@ _ARRIVALS = f"WITH {EVENTS}, l AS (SELECT id, label, ts + (5 + id % 11) * {DAY}
 @query("ss11_matured_labels", f"{_ARRIVALS} WHERE l.at <= s.ts + {12 * DAY}", d="amount", i="label")
 def matured_labels(spark, d):
     """Labels come 5 to 15 days after their rows; after 12 days they are final."""
-    return _run(late.matured(*_labelled(_stream(spark, d, "events")), "12 days").select("id", "amount", "label"))
+    return files.run(late.matured(*_labelled(_stream(spark, d, "events")), "12 days").select("id", "amount", "label"), "matured")
 
 
 @query("ss11_late_labels", f"{_ARRIVALS} WHERE l.at > s.ts + {12 * DAY}", d="amount", i="label")
