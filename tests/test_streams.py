@@ -3,7 +3,7 @@ import pytest
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["ss11_matured_labels"])
+@pytest.mark.parametrize("name", ["ss11_matured_labels", "ss01_online_store"])
 def test_streams_end_in_files(spark, name):
     """Results of streams are files, not rows in the driver's memory; the session's settings are as they were."""
     import __spark_entry__

@@ -19,7 +19,10 @@ from tidemark.operators.causal import WINDOWS
 from tidemark.session import ship
 
 FIELDS = "id bigint, key string, late boolean, prior_count bigint, since_prev bigint, mean_gap double, amt_mean double, amt_std double, n_distinct_device bigint, device_is_new int, " + ", ".join(f"count_{w} bigint, sum_{w} double" for w in WINDOWS)
-NAMES = [x.split()[0] for x in FIELDS.split(", ")]
+FIELD_KINDS = [tuple(x.split()) for x in FIELDS.split(", ")]
+NAMES = [n for n, _ in FIELD_KINDS]
+#: Of columns with nulls; a frame's columns are made with their types at once, as there is a frame for each key.
+KINDS = {"bigint": "Int64", "int": "Int32", "double": "Float64"}
 WIDEST = max(WINDOWS.values())
 
 
@@ -67,10 +70,10 @@ class Store(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = json.loads(self.state.get()[0]) if self.state.exists() else fresh()
-        batch = pd.concat(list(rows)).sort_values(["ts", "id"])
-        out = [step(s, int(r.id), str(key[0]), int(r.ts), float(r.amount), None if pd.isna(r.device) else str(r.device)) for r in batch.itertuples()]
+        batch = sorted((x for f in rows for x in zip(*(f[c].tolist() for c in ("ts", "id", "amount", "device")), strict=True)), key=lambda x: x[:2])
+        out = [step(s, int(i), str(key[0]), int(ts), float(amount), None if pd.isna(device) else str(device)) for ts, i, amount, device in batch]
         self.state.update((json.dumps(s),))
-        yield pd.DataFrame(out, columns=NAMES).astype({"device_is_new": "Int32", "since_prev": "Int64", "prior_count": "Int64", "n_distinct_device": "Int64"} | {f"count_{w}": "Int64" for w in WINDOWS})
+        yield pd.DataFrame({n: pd.array(x, KINDS[k]) if k in KINDS else x for (n, k), x in zip(FIELD_KINDS, zip(*out, strict=True), strict=True)})
 
     def close(self) -> None:
         pass
