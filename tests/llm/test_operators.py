@@ -541,6 +541,50 @@ def test_sparse_changes_leave_a_seed_in_every_passage(spark):
     assert {x.doc_id for x in out} == set(range(60)) and all(x.n_words >= passages.LEAST for x in out)
 
 
+def test_alike_passages_among_many_others_that_share_their_seeds(spark):
+    """Each run of words that two alike passages share stands in 40 other documents too, in other surroundings."""
+    r = random.Random(21)
+    made, runs = [], []
+    for i in range(12):
+        words = prose(60, r).split()
+        made += [(2 * i, varied(words, r, [])), (2 * i + 1, varied(words, r, range(7, 60, 8)))]
+        runs += [words[max(0, k - 7) : k] for k in range(7, 68, 8)]
+    for i in range(24, 64):
+        r.shuffle(runs)
+        made.append((i, " ".join(f"{prose(14, r)} {' '.join(x)}" for x in runs)))
+    out = covered(passages.op4_digest(spark.createDataFrame(made, "doc_id bigint, text string")))
+    assert set(range(24)) <= set(out) and all(len(out[i]) >= 55 for i in range(24))
+
+
+def test_pairs_that_can_be_alike_pass():
+    """Any two passages of 45 words of which nine at most differ, by change, loss or addition, beside anything."""
+    import numpy as np
+
+    from tidemark.llm import partners
+
+    r = random.Random(22)
+    size = partners.BEFORE + partners.LEAST
+    rows = []
+    for _ in range(200):
+        a = [r.randrange(1, 256) for _ in range(size)]
+        at, keep = r.randint(0, 35), set(range(40, 45))
+        b = list(a)
+        spots = r.sample([i for i in range(at, at + 45) if i not in keep and at <= i], 9)
+        for i in spots:
+            b[i] = r.randrange(1, 256)
+        b[:at] = [r.randrange(1, 256) for _ in range(at)]
+        b[at + 45 :] = [r.randrange(1, 256) for _ in range(size - at - 45)]
+        if r.random() < 0.5:  # a word lost after the seed, and one more before it
+            b = [*b[1:20], 7, *b[20:60], *b[61:], 9]
+            b = b[:size]
+        rows += [a, b]
+    words = np.array(rows, np.uint8)
+    n = np.arange(len(rows))
+    got_ = {(int(x), int(y)) for a, b in partners.compared(n, n, n, words) for x, y in zip(a, b, strict=True)}
+    changed = [(i, i + 1) for i in range(0, len(rows), 2) if (words[i, 40:45] == words[i + 1, 40:45]).all() and sum(words[i, 5:80] == words[i + 1, 5:80]) >= 36]
+    assert len(changed) > 50 and set(changed) <= got_ and len(got_) < 2 * len(rows)
+
+
 def test_pii():
     plain = "mail a.b@x-y.co.uk, 10.0.0.256 10.0.0.255 card 4111 1111 1111 1111 +1 (415) 555-0100 done"
     base, added = pii.search(plain)
