@@ -556,6 +556,35 @@ def test_alike_passages_among_many_others_that_share_their_seeds(spark):
     assert set(range(24)) <= set(out) and all(len(out[i]) >= 55 for i in range(24))
 
 
+def test_copies_of_a_text_are_whole_passages(spark):
+    """Also where no shingle of it is a seed; the first stands beside the next one, all others beside the first."""
+    r = random.Random(31)
+    seedless = next(w for i in range(99) if not len(passages.kept_shingles(spans.word_codes((w := f"w{i} ") * 60))["pos"]))
+    rows = [(i, seedless * 60) for i in range(5, 25)] + [(30, prose(80, r)), (31, prose(80, r))]
+    rows += [(40, rows[-1][1]), (41, "few words"), (42, "few words"), (None, rows[-1][1])]
+    out = {x.doc_id: (x.start_word, x.end_word, x.mate_id, x.first) for x in passages.op4_digest(spark.createDataFrame(rows * 2, "doc_id bigint, text string")).collect()}
+    want = {i: (0, 60, 5, False) for i in range(6, 25)} | {5: (0, 60, 6, True)}
+    assert out == want | {31: (0, 80, None, False), 40: (0, 80, None, False), None: (0, 80, 31, True)}
+
+
+def test_a_repeated_word_has_seeds_at_its_ends(spark):
+    """Seeds of a run grow with it by one in 40 words, and cover it; what follows and comes before is found in documents whose runs differ."""
+    import numpy as np
+
+    word = next(w for i in range(99) if len(passages.kept_shingles(spans.word_codes((w := f"w{i} ") * 60))["pos"]))
+    for n in (45, 46, 89, 400):
+        pos = passages.kept_shingles(spans.word_codes(word * n))["pos"]
+        assert len(pos) <= 3 + n // 40 and {0, n - 5} <= set(pos.tolist())
+        assert {x for p in pos if p + 45 <= n for x in range(p, p + 45)} == set(range(n))
+    assert passages.ends_of_runs(np.array([3, 3, 3, 4, 5, 5]))[1].tolist() == [False, False, True, False, False, True]
+    r = random.Random(32)
+    head, tail, made = prose(30, r), prose(30, r), []
+    for i in range(12):
+        made.append((i, " ".join([prose(20, r), head, word * (50 + 30 * i), tail, prose(20, r)])))
+    for i, got_ in covered(passages.op4_digest(spark.createDataFrame(made, "doc_id bigint, text string"))).items():
+        assert got_ >= set(range(20, 20 + 30 + 50 + 30 * i + 30))
+
+
 def test_pairs_that_can_be_alike_pass():
     """Any two passages of 45 words of which nine at most differ, by change, loss or addition, beside anything."""
     import numpy as np
